@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, rules
+from . import bpe, lines, pages, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         rules.op3_quality_rules,
         bpe.op4_byte_bpe,
+        lines.op5_line_dedup,
+        pages.op8_html_extraction,
     )
 }
 
