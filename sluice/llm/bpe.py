@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-CACHED_PARTS, CACHED_CHARS = 200_000, 40
+CACHED_PARTS, CACHED_CHARS = 100_000, 40
 
 
 class Codec:
@@ -80,6 +80,8 @@ class Codec:
         key = left << 32 | right
         out = self.beside.get(key)
         if out is None:
+            if len(self.beside) >= CACHED_PARTS:
+                self.beside.clear()
             out = self.beside[key] = self._can_stand(left, right)
         return out
 
@@ -200,7 +202,7 @@ def encoded(text: str | F.Column, ranks: str, pattern: str) -> F.Column:
 
 
 def decoded(ids: str | F.Column, ranks: str, pattern: str) -> F.Column:
-    """A column of the bytes of an ids column."""
+    """A column of the bytes of an ids column; a text's bytes are UTF-8."""
 
     def run(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
         one = codec(ranks, pattern)
@@ -210,16 +212,27 @@ def decoded(ids: str | F.Column, ranks: str, pattern: str) -> F.Column:
     return F.pandas_udf(run, "binary")(ids)
 
 
+def round_trip(text: str | F.Column, ranks: str, pattern: str) -> F.Column:
+    """A struct column: the ids of a text column, and the bytes that they decode to, by one worker."""
+
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        one = codec(ranks, pattern)
+        for part in texts:
+            ids = [one.encode(t) for t in part]
+            yield pd.DataFrame({"ids": pd.Series([np.frombuffer(x, np.int32) for x in ids], dtype=object), "bytes": pd.Series(map(one.decode, ids), dtype=object)})
+
+    return F.pandas_udf(run, "ids array<int>, bytes binary")(text)
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of docs by the contract's tokenizer."""
     vocabulary = default_vocabulary()
-    ids = docs.select("doc_id", encoded(docs["text"], *vocabulary).alias("ids"))
-    both = ids.select("doc_id", "ids", decoded("ids", *vocabulary).alias("bytes"))
+    both = docs.select(docs["doc_id"], round_trip(docs["text"], *vocabulary).alias("x"))
     return both.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
-        F.sha2("bytes", 256).alias("decoded_sha256"),
+        F.size("x.ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("x.ids", " "), 256).alias("ids_sha256"),
+        F.sha2("x.bytes", 256).alias("decoded_sha256"),
     )
 
 

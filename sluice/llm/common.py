@@ -48,7 +48,14 @@ def drop(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Fewer rows to an Arrow batch: whole texts are long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -62,11 +69,6 @@ def lowered(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").lower()
 
 
-def spread(df: DataFrame, least: int | None = None) -> DataFrame:
-    """df in at least as many partitions as the cluster has cores, where a small file made fewer."""
-    return df
-
-
 class Hashes(dict):
     """Word to 64-bit hash, remembered; forgets all when it holds too many."""
 

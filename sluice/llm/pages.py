@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import common
+
 # HTML's elements by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp template svg math".split())
@@ -281,6 +283,7 @@ def extracted(page: str | Column) -> Column:
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     found = pages.select("page_id", "url", extracted(pages["html"]).alias("text"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lines, pages, rules
+from . import bpe, lines, neardup, pages, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         rules.op3_quality_rules,
         bpe.op4_byte_bpe,
         lines.op5_line_dedup,
+        neardup.op6_minhash_near_dedup,
         pages.op8_html_extraction,
     )
 }
