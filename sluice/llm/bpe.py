@@ -14,6 +14,7 @@ pieces and texts may have any length; extra columns are never read.
 from __future__ import annotations
 
 import base64
+import itertools
 from array import array
 from collections.abc import Iterator
 from functools import cache
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-CACHED_PARTS, CACHED_CHARS = 100_000, 40
+#: Most entries of each memo; a full one becomes the older half and a new one begins.
+CACHED_PARTS, CACHED_PIECES, CACHED_PAIRS, CACHED_CHARS = 200_000, 120_000, 400_000, 40
 
 
 class Codec:
@@ -48,6 +50,8 @@ class Codec:
         self.parts: dict[int, tuple[int, int]] = {}
         self.newer: dict[str, array] = {}
         self.older: dict[str, array] = {}
+        self.newer_pieces: dict[str, list[int]] = {}
+        self.older_pieces: dict[str, list[int]] = {}
         self.odd_space = regex.compile(r" \s|\s ")
 
     def shorter_prefix(self, token: int) -> int:
@@ -80,7 +84,7 @@ class Codec:
         key = left << 32 | right
         out = self.beside.get(key)
         if out is None:
-            if len(self.beside) >= CACHED_PARTS:
+            if len(self.beside) >= CACHED_PAIRS:
                 self.beside.clear()
             out = self.beside[key] = self._can_stand(left, right)
         return out
@@ -108,25 +112,26 @@ class Codec:
                     if left == limit:
                         return True
 
-    def longest(self, data: bytes) -> list[int]:
-        """For each place the longest token that starts there."""
-        best = [-1] * len(data)
-        for end, token in self.automaton.iter(data.decode("latin-1")):
-            best[end - len(self.tokens[token]) + 1] = token  # shorter ones end, and come, first
-        return best
-
     def backtrack(self, data: bytes) -> list[int]:
         """The ids of a piece."""
-        tokens, n, best = self.tokens, len(data), self.longest(data)
+        text = data.decode("latin-1")
+        greedy = [token for _, token in self.automaton.iter_long(text)]
+        beside = self.beside
+        for left, right in itertools.pairwise(greedy):
+            if not (beside.get(left << 32 | right) or self.can_stand(left, right)):
+                break
+        else:
+            return greedy  # every longest match can stand: nothing to step back from
+        tokens, n, longest = self.tokens, len(data), self.automaton.iter_long
         open_at = bytearray(b"\x01") * (n + 1)  # places not given up
         out: list[int] = []
-        at, token = 0, best[0] if n else -1
+        at, token = 0, greedy[0]
         while at < n:
             end = at + len(tokens[token])
             if open_at[end] and (not out or self.can_stand(out[-1], token)):
                 out.append(token)
                 at = end
-                token = best[at] if at < n else -1
+                token = next(longest(text, at))[1] if at < n else -1
                 continue
             shorter = self.shorter_prefix(token)
             if shorter < 0:  # nothing fits here: give the place up and shorten the token before
@@ -138,17 +143,24 @@ class Codec:
         return out
 
     def encode_piece(self, piece: str) -> list[int]:
-        data = piece.encode("utf-8", "surrogatepass")
-        whole = self.ids.get(data)
-        return [whole] if whole is not None else self.backtrack(data)
+        out = self.older_pieces.get(piece)
+        if out is None:
+            data = piece.encode("utf-8", "surrogatepass")
+            whole = self.ids.get(data)
+            out = [whole] if whole is not None else self.backtrack(data)
+        if len(piece) <= CACHED_CHARS:
+            if len(self.newer_pieces) >= CACHED_PIECES:
+                self.older_pieces, self.newer_pieces = self.newer_pieces, {}
+            self.newer_pieces[piece] = out
+        return out
 
     def encode_part(self, part: str) -> array:
         """The ids of a part of a text that the pattern never matches across the ends of; short ones are remembered."""
         out = self.older.get(part)
         if out is None:
-            out = array("i")
+            out, get, one = array("i"), self.newer_pieces.get, self.encode_piece
             for piece in self.pieces.findall(part):
-                out.extend(self.encode_piece(piece))
+                out.extend(get(piece) or one(piece))
         if len(part) <= CACHED_CHARS:
             if len(self.newer) >= CACHED_PARTS:
                 self.older, self.newer = self.newer, {}
