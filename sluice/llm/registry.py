@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lines, neardup, pages, rules
+from . import bpe, decontaminate, lines, neardup, pages, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         bpe.op4_byte_bpe,
         lines.op5_line_dedup,
         neardup.op6_minhash_near_dedup,
+        decontaminate.op7_benchmark_decontamination,
         pages.op8_html_extraction,
     )
 }
