@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, classifier, decontaminate, lines, neardup, pages, rules
+from . import bpe, classifier, decontaminate, language_model, lines, neardup, pages, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         classifier.op1_quality_classifier,
+        language_model.op2_lm_scoring,
         rules.op3_quality_rules,
         bpe.op4_byte_bpe,
         lines.op5_line_dedup,
