@@ -6,6 +6,7 @@ lost executor costs a task, not the lineage before the table.
 
 from __future__ import annotations
 
+import gc
 import itertools
 import tempfile
 import uuid
@@ -35,6 +36,8 @@ def table(df: DataFrame, name: str, partition_by: str | None = None) -> DataFram
     path = f"{shared_dir(spark)}/sluice/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of what has been written
     out = spark.read.schema(df.schema).parquet(path)
     out.sluice_path = path
     return out

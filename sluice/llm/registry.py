@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, classifier, decontaminate, language_model, lines, neardup, pages, rules
+from . import bpe, classifier, decontaminate, language_model, lines, neardup, pages, phrases, rules, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -19,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         neardup.op6_minhash_near_dedup,
         decontaminate.op7_benchmark_decontamination,
         pages.op8_html_extraction,
+        suffixes.op9_suffix_array_dedup,
+        phrases.op10_substring_dedup,
     )
 }
 
