@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -143,18 +144,22 @@ def matches(docs: DataFrame, items: DataFrame, percent: int = ERROR_PERCENT) ->
     return docs.sparkSession.createDataFrame([], SCHEMA) if out is None else out
 
 
+def _free_of(block: Broadcast, percent: int):
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher(block.value, percent)
+        for part in parts:
+            yield pd.Series([not matcher.search(t) for t in part], dtype=bool)
+
+    return run
+
+
 def clean(docs: DataFrame, items: DataFrame, percent: int = ERROR_PERCENT) -> DataFrame:
     """The rows of docs whose text matches no item, with the columns of docs."""
     out = docs
     for block in blocks_of(items):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
-        def free(parts: Iterator[pd.Series], sent=sent) -> Iterator[pd.Series]:
-            matcher = Matcher(sent.value, percent)
-            for part in parts:
-                yield pd.Series([not matcher.search(t) for t in part], dtype=bool)
-
-        out = out.where(F.pandas_udf(free, "boolean")(out["text"]))
+        out = out.where(F.pandas_udf(_free_of(sent, percent), "boolean")(out["text"]))
     return out
 
 

@@ -3,9 +3,9 @@
 One pass over the texts makes, for each document, a key of its word sequence, the size of its shingle
 set, band hashes of its minima and a signature of the low bits of each minimum. Documents with one key
 form a class, so copies cost one row each and no more. Classes that share a band are candidates; each
-band's classes are compared with its least class first, and the packed signatures, by counting equal
+band's classes are compared with its leader first, the class whose bands are the most crowded, and the packed signatures, by counting equal
 bits and correcting for chance, decide which pairs are worth an exact comparison of the full sets. What
-isn't linked with its band's least class after that is compared with the rest of the band, in a join
+isn't linked with its band's leader after that is compared with the rest of the band, in a join
 that passes on only pairs of different components that the signatures find alike. Linked classes become
 components by star contraction.
 
@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BANDS, ROWS, BITS = 40, 5, 2
+BANDS, ROWS, BITS = 40, 5, 4
 SIMILARITY_PERCENT, SHINGLE_WORDS = 80, 5
 #: Estimated similarity from which a pair is compared exactly.
-WORTH = 0.55
+WORTH = 0.65
 
 _SIGNED = "doc_id long, row long, key_a long, key_b long, n_shingles long, bands array<long>, signature array<long>"
 
@@ -134,7 +134,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int,
 
     def similar(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = common.Hashes()
-        last, y = None, None  # pairs come sorted by b: a band's least class is read once
+        last, y = None, None  # a leader's pairs come together: it is read once
         for part in parts:
             keep = []
             for b, x_text, y_text in zip(part["b"], part["x"], part["y"], strict=True):
@@ -160,26 +160,40 @@ def linked(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = SIMILARITY
     # a class is named by its key, so that it has a name where doc_id is null or repeated
     classes = common.table(grouped.withColumn("c", F.xxhash64("key_a", "key_b")), "classes")
     banded = classes.select("c", F.explode("bands").alias("band"))
-    led = banded.groupBy("band").agg(F.min("c").alias("leader"), F.count("*").alias("n")).where("n > 1").select("band", "leader")
-    led = common.table(led, "bands")
-    members = common.table(banded.join(led, "band").select("band", "leader", "c"), "members")
+    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    crowd = common.table(banded.join(shared, "band"), "crowd")
+    # a class whose bands are the most crowded ones is the likeliest to be similar to all others there: it leads
+    central = crowd.groupBy("c").agg(F.sum("n").alias("rank"))
+    ranked = crowd.select("band", "c").join(central, "c")
+    led = common.table(ranked.groupBy("band").agg(F.max(F.struct("rank", "c")).alias("lead")).select("band", F.col("lead.c").alias("leader"), F.col("lead.rank").alias("rank")), "bands")
+    members = common.table(crowd.select("band", "c").join(led, "band"), "members")
     light = classes.select("c", "n", "signature")
 
     def alike(pairs: DataFrame) -> DataFrame:
         """The pairs that sizes and signatures allow."""
         x, y = light.toDF("a", "n_a", "s_a"), light.toDF("b", "n_b", "s_b")
         joined = pairs.join(x, "a").join(y, "b")
-        sized = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+        sized = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
         return joined.where(sized & (estimate("s_a", "s_b") >= WORTH)).select("a", "b")
 
-    stars = members.where("c <> leader").select(F.col("c").alias("a"), F.col("leader").alias("b")).distinct()
-    links = _confirmed(alike(stars), docs, classes, size, percent)
-    found = common.table(common.components(links), "found")
-
     def component(c: str) -> F.Column:
         return F.coalesce(F.col("component"), F.col(c))
 
-    # what its band's least class didn't draw in is compared with the whole band
+    # each class with the most central of its bands' leaders, then with the other leaders that it isn't joined to
+    stars = common.table(members.where("c <> leader").groupBy("c").agg(F.max(F.struct("rank", "leader")).alias("lead")).select(F.col("c").alias("a"), F.col("lead.leader").alias("b")), "stars")
+    links = _confirmed(alike(stars), docs, classes, size, percent)
+    found = common.table(common.components(links), "found")
+    apart = members.where("c <> leader").select("c", "leader").distinct().join(stars.toDF("c", "leader"), ["c", "leader"], "left_anti")
+    apart = apart.join(found.toDF("c", "k"), "c", "left").join(found.toDF("leader", "lk"), "leader", "left")
+    apart = common.table(apart.where(F.coalesce("k", "c") != F.coalesce("lk", "leader")).select(F.col("c").alias("a"), F.col("leader").alias("b")), "apart")
+    if not apart.isEmpty():
+        more = _confirmed(alike(apart), docs, classes, size, percent)
+        links = common.table(links.union(more), "links")
+        common.drop(found)
+        found = common.table(common.components(links), "found")
+    common.drop(crowd, stars, apart)
+
+    # what its band's leader didn't draw in is compared with the whole band
     at = members.join(found.withColumnRenamed("node", "c"), "c", "left").select("band", "leader", "c", component("c").alias("k"))
     lead = led.join(found.withColumnRenamed("node", "leader"), "leader", "left").select("band", component("leader").alias("lk"))
     rest = common.table(at.join(lead, "band").where("k <> lk").select("band", "c", "k").join(light, "c"), "rest")
