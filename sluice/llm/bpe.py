@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import itertools
+import re
 from array import array
 from collections.abc import Iterator
 from functools import cache
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Most entries of each memo; a full one becomes the older half and a new one begins.
-CACHED_PARTS, CACHED_PIECES, CACHED_PAIRS, CACHED_CHARS = 200_000, 120_000, 400_000, 40
+CACHED_PARTS, CACHED_PIECES, CACHED_PAIRS, CACHED_CHARS = 300_000, 150_000, 400_000, 40
 
 
 class Codec:
@@ -52,7 +53,7 @@ class Codec:
         self.older: dict[str, array] = {}
         self.newer_pieces: dict[str, list[int]] = {}
         self.older_pieces: dict[str, list[int]] = {}
-        self.odd_space = regex.compile(r" \s|\s ")
+        self.odd_space = re.compile(r" \s|\s ")
 
     def shorter_prefix(self, token: int) -> int:
         """The longest token that is a shorter prefix of token, or -1."""
@@ -155,16 +156,21 @@ class Codec:
         return out
 
     def encode_part(self, part: str) -> array:
-        """The ids of a part of a text that the pattern never matches across the ends of; short ones are remembered."""
-        out = self.older.get(part)
+        """The ids of a part of a text that the pattern never matches across the ends of."""
+        out, get, one = array("i"), self.newer_pieces.get, self.encode_piece
+        for piece in self.pieces.findall(part):
+            out.extend(get(piece) or one(piece))
+        return out
+
+    def encode_word(self, word: str) -> array:
+        """The ids of a word and the space before it; short words are remembered."""
+        out = self.older.get(word)
         if out is None:
-            out, get, one = array("i"), self.newer_pieces.get, self.encode_piece
-            for piece in self.pieces.findall(part):
-                out.extend(get(piece) or one(piece))
-        if len(part) <= CACHED_CHARS:
+            out = self.encode_part(" " + word)
+        if len(word) <= CACHED_CHARS:
             if len(self.newer) >= CACHED_PARTS:
                 self.older, self.newer = self.newer, {}
-            self.newer[part] = out
+            self.newer[word] = out
         return out
 
     def encode(self, text: str | None) -> array:
@@ -176,13 +182,11 @@ class Codec:
         text = text or ""
         if self.odd_space.search(text):
             return self.encode_part(text)
-        out = array("i")
-        parts = text.split(" ")
-        out.extend(self.encode_part(parts[0]))
-        one = self.encode_part
-        for part in parts[1:]:
-            part = " " + part
-            out.extend(self.newer.get(part) or one(part))
+        first, *rest = text.split(" ")
+        out = array("i", self.encode_part(first))
+        add, one = out.extend, self.encode_word
+        for word, ids in zip(rest, map(self.newer.get, rest), strict=True):
+            add(one(word) if ids is None else ids)
         return out
 
     def decode(self, ids) -> bytes:
