@@ -90,8 +90,14 @@ _METHODS: dict[str, Callable] = {
 }
 
 
-def expression(text: str, columns: Sequence[str], values: Mapping[str, Any] | None = None) -> Column:
-    """A Python-like expression over columns, named as they are or with other characters as underscores."""
+_TEXTS = frozenset("str upper lower strip lstrip rstrip title replace".split())
+
+
+def expression(text: str, columns: Sequence[str], values: Mapping[str, Any] | None = None, texts: Sequence[str] = ()) -> Column:
+    """A Python-like expression over columns, named as they are or with other characters as underscores.
+
+    texts: the columns that hold strings, which + joins.
+    """
     names = {safe_name(c): c for c in columns} | {c: c for c in columns}
     values = values or {}
     text = re.sub(r"`([^`]+)`", lambda m: safe_name(m[1]), text.strip())
@@ -102,6 +108,18 @@ def expression(text: str, columns: Sequence[str], values: Mapping[str, Any] | No
         x = build(node)
         return x if isinstance(x, Column) else F.lit(x)
 
+    def is_text(node: ast.AST) -> bool:
+        match node:
+            case ast.Constant(value=x):
+                return isinstance(x, str)
+            case ast.Name(id=x):
+                return names.get(x) in texts or isinstance(values.get(x), str)
+            case ast.BinOp(left=a, op=ast.Add(), right=b):
+                return is_text(a) or is_text(b)
+            case ast.Call(func=ast.Name(id=f) | ast.Attribute(attr=f)):
+                return f in _TEXTS
+        return isinstance(node, ast.JoinedStr)
+
     def build(node: ast.AST) -> Any:
         match node:
             case ast.Expression(body=x):
@@ -127,6 +145,8 @@ def expression(text: str, columns: Sequence[str], values: Mapping[str, Any] | No
                 return -build(x)
             case ast.UnaryOp(op=ast.UAdd(), operand=x):
                 return build(x)
+            case ast.BinOp(op=ast.Add()) if is_text(node):
+                return F.concat(col(node.left), col(node.right))
             case ast.BinOp(left=a, op=op, right=b):
                 a, b = col(a), col(b)
                 match op:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice import template
-from sluice.order import name
+from sluice.order import ORDINAL, name, with_ordinal
 from sluice.registry import Context, op
 
 log_to = logging.getLogger("sluice")
@@ -26,7 +26,7 @@ def permutations(ctx: Context, df: DataFrame | None, variables: dict[str, Any],
     for key, value in variables.items():
         if isinstance(value, str) and value.startswith("set(") and df is not None:
             column = value[4:-1].strip()
-            value = [r[0] for r in df.select(name(column)).groupBy(name(column)).agg(F.min(F.monotonically_increasing_id()).alias("o")).orderBy("o").collect()]
+            value = [r[0] for r in with_ordinal(df).groupBy(name(column)).agg(F.min(ORDINAL).alias("o")).orderBy("o").collect()]
         elif isinstance(value, str) and value.startswith("dir("):
             value = sorted(str(p) for p in Path(value[4:-1].strip()).iterdir() if p.is_file())
         elif isinstance(value, str) and value.startswith("custom."):

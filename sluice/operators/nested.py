@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.columns import _glob
-from sluice.operators.text import distinct, is_list, is_text, kind, pick, spread
-from sluice.order import name
+from sluice.operators.text import distinct, holds, is_list, is_text, kind, pick, spread
+from sluice.order import ORDINAL, name, with_ordinal
 from sluice.registry import Context, op
 
 
@@ -33,7 +33,7 @@ def as_list(df: DataFrame, column: str) -> Column:
 
 def keys_of(df: DataFrame, maps: Column) -> list[str]:
     """All keys of a column of mappings; one small aggregate."""
-    found = df.select(F.explode(F.map_keys(maps)).alias("k")).groupBy("k").agg(F.min(F.monotonically_increasing_id()).alias("at")).orderBy("at", "k").collect()
+    found = with_ordinal(df).select(ORDINAL, F.posexplode(F.map_keys(maps)).alias("p", "k")).groupBy("k").agg(F.min(F.struct(ORDINAL, "p")).alias("at")).orderBy("at", "k").collect()
     return [r["k"] for r in found]
 
 
@@ -88,6 +88,11 @@ def to_yaml(ctx: Context, df: DataFrame, input, output, sort_keys: bool = False,
     return {o: call(_json(df, i)) for i, o in zip(input, output, strict=True)}
 
 
+def _chosen(m: Column, pattern: str, text: str | None) -> Column:
+    part = F.map_filter(m, lambda k, v: k.rlike(pattern))
+    return F.transform_keys(part, lambda k, v: F.regexp_replace(k, pattern, text)) if text else part
+
+
 @op("select.dictionary_element")
 def dictionary_element(ctx: Context, df: DataFrame, input, output, element, default=""):
     out = {}
@@ -105,10 +110,7 @@ def dictionary_element(ctx: Context, df: DataFrame, input, output, element, defa
         chosen = None
         for source, target in wanted.items():
             pattern = source[6:].strip() if source.startswith("regex:") else _glob(source)
-            part = F.map_filter(m, lambda k, v, p=pattern: k.rlike(f"^(?:{p})$"))
-            if target:
-                text = re.sub(r"\*", "\\$1", target)
-                part = F.transform_keys(part, lambda k, v, p=pattern, t=text: F.regexp_replace(k, f"^(?:{p})$", t))
+            part = _chosen(m, f"^(?:{pattern})$", re.sub(r"\*", "\\$1", target) if target else None)
             chosen = part if chosen is None else F.map_concat(chosen, part)
         out[o] = chosen
     return out
@@ -250,6 +252,10 @@ def coalesce(ctx: Context, df: DataFrame, input, output):
     return {output[0]: F.coalesce(*values, *([F.lit("")] if is_text(df, input[0]) or not one else []))}
 
 
+def _not(condition):
+    return lambda x: ~condition(x)
+
+
 @op("compare.lists")
 def compare_lists(ctx: Context, df: DataFrame, input, output, method: str = "intersection", remove_duplicates: bool = False, ignore_case: bool = False):
     fold = (lambda x: F.lower(x.cast("string"))) if ignore_case else (lambda x: x)
@@ -258,11 +264,12 @@ def compare_lists(ctx: Context, df: DataFrame, input, output, method: str = "int
     if method == "intersection":
         for other in lists[1:]:
             folded = F.transform(other, fold)
-            found = F.filter(found, lambda x, f=folded: F.array_contains(f, fold(x)))
+            found = F.filter(found, holds(folded, fold))
     elif method == "difference":
         for other in lists[1:]:
             folded = F.transform(other, fold)
-            found = F.filter(found, lambda x, f=folded: ~F.array_contains(f, fold(x)))
+            inside = holds(folded, fold)
+            found = F.filter(found, _not(inside))
     elif method == "union":
         found = F.concat(first, *lists[1:])
     else:

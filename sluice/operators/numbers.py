@@ -132,7 +132,7 @@ def similarity(ctx: Context, df: DataFrame, input, output, method: str = "cosine
 def python(ctx: Context, df: DataFrame, command: str, output, input=None, **values):
     outputs = [output] if isinstance(output, str) else list(output)
     values.pop("except", None)
-    found = expression(command, df.columns, {**ctx.variables, **values})
+    found = expression(command, df.columns, {**ctx.variables, **values}, [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)])
     return {outputs[0]: found} if len(outputs) == 1 else {o: F.get(found, F.lit(k)) for k, o in enumerate(outputs)}
 
 
@@ -276,8 +276,12 @@ def _inside_months(a: Column, b: Column, days: list[int]) -> Column:
     """How many of the given days of months lie from a to b, both included; 0 stands for a month's last."""
     months = F.sequence(F.trunc(a, "month"), F.trunc(b, "month"), F.expr("interval 1 month"))
     count = F.lit(0)
+
+    def inside(d: int):
+        return lambda m: (F.last_day(m) if d == 0 else F.date_add(m, d - 1)).between(a, b)
+
     for d in days:
-        count = count + F.size(F.filter(months, lambda m, d=d: (F.last_day(m) if d == 0 else F.date_add(m, d - 1)).between(a, b)))
+        count = count + F.size(F.filter(months, inside(d)))
     return count
 
 

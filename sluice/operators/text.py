@@ -309,6 +309,11 @@ def brackets(ctx: Context, df: DataFrame, input, output, find="all", include_bra
     return shaped(df, items, output, output_format or "concatenate", char)
 
 
+def holds(items: Column, fold):
+    """Whether a list has an element, each folded by the same rule."""
+    return lambda x: F.array_contains(items, fold(x))
+
+
 @op("compare.text")
 def compare_text(
     ctx: Context, df: DataFrame, input, output, method: str = "difference", char: str = " ", non_match_char: str = "*", include_ratio: bool = False, decimal_places: int = 3,
@@ -334,7 +339,7 @@ def compare_text(
     if method == "intersection":
         kept = words[0]
         for other in sets[1:]:
-            kept = F.filter(kept, lambda x, other=other: F.array_contains(other, fold(x)))
+            kept = F.filter(kept, holds(other, fold))
         return {output[0]: F.array_join(F.array_distinct(kept), " ")}
     raise ValueError("method must be difference, intersection or overlap")
 

@@ -28,12 +28,17 @@ def _parsed(value: Any) -> Any:
     return value
 
 
+def swept(part: Any, variables: Mapping[str, Any], strict: bool) -> Any:
+    """A matrix, whose own variables are bound in turn later."""
+    return {**part, "variables": bind(part.get("variables") or {}, variables, strict)} if isinstance(part, Mapping) else part
+
+
 def bind(part: Any, variables: Mapping[str, Any], strict: bool = True) -> Any:
     """part with its variables filled in; a text that is one variable takes that variable's own type."""
     if isinstance(part, Mapping):
         if isinstance(own := part.get("variables"), Mapping):
             variables = {**variables, **bind(own, variables, strict)}
-        return {bind(k, variables, strict): (v if k in LATER else bind(v, variables, strict)) for k, v in part.items()}
+        return {bind(k, variables, strict): (v if k in LATER else swept(v, variables, strict) if k == "matrix" else bind(v, variables, strict)) for k, v in part.items()}
     if isinstance(part, (list, tuple)):
         return [bind(x, variables, strict) for x in part]
     if not isinstance(part, str):
