@@ -31,8 +31,8 @@ def byte_hashes():
     return lambda text: _SYMBOLS[np.frombuffer(text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass"), np.uint8)]
 
 
-def suffix_array(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Suffixes ordered by their first depth symbols at least, and for each doubled length the ranks by it."""
+def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Suffixes in order, and for each doubled length the ranks by their first so many symbols."""
     n = len(symbols)
     key = symbols.astype(np.int64)
     order = np.argsort(key, kind="stable")
@@ -41,7 +41,7 @@ def suffix_array(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, list[tupl
     rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))  # a rank is the place of its first suffix
     levels, length = [(1, rank)], 1
     tied = order[~(first & np.append(first[1:], True))]
-    while length < depth and len(tied):
+    while len(tied):
         after = np.where(tied + length < n, rank[np.minimum(tied + length, n - 1)], -1)
         key = rank[tied] * (n + 1) + after + 1
         by = np.argsort(key, kind="stable")
@@ -60,7 +60,7 @@ def suffix_array(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, list[tupl
 
 
 def shared_prefixes(order: np.ndarray, levels: list[tuple[int, np.ndarray]]) -> np.ndarray:
-    """How many symbols each suffix shares with the one before it in order; less than twice the longest level."""
+    """How many symbols each suffix shares with the one before it in order."""
     n = len(order)
     a, b = order[:-1].copy(), order[1:].copy()
     shared = np.zeros(n - 1, np.int64)
@@ -76,7 +76,7 @@ def maximal_repeats(symbols: np.ndarray, least: int) -> Iterator[tuple[int, np.n
     """(length, places) of each maximal repeat of at least that length, with all its places."""
     if len(symbols) < 2:
         return
-    order, levels = suffix_array(symbols, least)
+    order, levels = suffix_array(symbols)
     shared = shared_prefixes(order, levels)
     left = np.where(order > 0, symbols[order - 1], -1).tolist()
     long = shared >= least
@@ -95,6 +95,7 @@ def maximal_repeats(symbols: np.ndarray, least: int) -> Iterator[tuple[int, np.n
                 length, first, known = open_.pop()
                 if known != before:
                     before = -2
+                if before == -2:
                     yield length, order[first:i]
             if open_ and open_[-1][0] == now:
                 if open_[-1][2] != before:
