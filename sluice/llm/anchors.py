@@ -133,9 +133,13 @@ def repeated(
     each of several spans of symbols, the ranges within it that repeated windows cover, counts telling
     how often each span stands in the corpus; hashes_of()(span) are the span's symbol hashes.
     """
-    every = common.table(all_blocks(docs, symbols_of, window, anchor), "blocks")
+    blocks_ = common.table(all_blocks(docs, symbols_of, window, anchor), "blocks")
+    # most anchors stand once; after this no step handles their blocks
+    shared = common.table(blocks_.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "anchors")
+    every = common.table(blocks_.join(shared, "anchor"), "shared")
+    common.drop(blocks_, shared)
     by_block = every.groupBy("anchor", "h").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "row", "at", "windows", "offset")).alias("first"))
-    by_anchor = by_block.groupBy("anchor").agg(F.count("*").alias("k"), F.sum("m").alias("c")).where("c > 1")
+    by_anchor = by_block.groupBy("anchor").agg(F.count("*").alias("k"))
     found = common.table(by_block.join(by_anchor, "anchor").select("anchor", "h", "m", "k", "first.*"), "repeats")
     whole = found.where("m > 1").select("anchor", "h", F.array(F.lit(0), F.col("windows") + (window - 1)).alias("ranges"))
 
