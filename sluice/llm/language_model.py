@@ -11,8 +11,8 @@ Word counts cover all training rows. Executors get the model and the counts of t
 words, a bounded table; the counts of the rest come by a join on the word's hash.
 
 Defined results: a null or empty text is one end token. Rows that repeat a doc_id are each scored by
-their own text. A null doc_id is never held out. With no training rows every count is 0. Ties among
-frequent words go to the smaller hash. Extra columns are never read.
+their own text. A null doc_id is never held out. With no training rows every count is 0. Words tied in
+count are all known or all left to the join. Extra columns are never read.
 """
 
 from __future__ import annotations
@@ -288,13 +288,26 @@ class Reader:
         return np.array([self.read(w)[1] for w in tokens(text)], np.int32)
 
 
+def most_frequent(words: DataFrame, most: int = KNOWN) -> DataFrame:
+    """At most that many of words, the most frequent: those above a count that a small histogram of counts gives."""
+    level = F.when(F.col("n") < 64, F.col("n")).otherwise(F.floor(F.log2("n") * 8) + 16).cast("int")  # 64 comes to 64
+    held = 0
+    least = None
+    for row in words.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # some hundred rows
+        held += row["count"]
+        if held > most:
+            break
+        least = row["level"]
+    return words.where(level >= least) if least is not None else words.limit(0)
+
+
 def scored(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     words = common.table(counted(training(docs)), "words")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    frequent = words.orderBy(F.desc("n"), "h").limit(KNOWN).toPandas()
+    frequent = most_frequent(words).toPandas().sort_values(["n", "h"], ascending=[False, True], ignore_index=True)
     hashes, counts = frequent["h"].to_numpy(np.int64).view(np.uint64), frequent["n"].to_numpy(np.int64)
     head = min(HEAD, len(hashes))
     # mass and distinct words of each shape outside the head
