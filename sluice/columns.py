@@ -21,7 +21,7 @@ def _matches(text: str, columns: Sequence[str]) -> list[str] | None:
     if _SLICE.fullmatch(text) and text != ":":
         bounds = [int(x) if x else None for x in text.split(":")]
         return list(columns)[slice(*bounds)]
-    if re.search(r"(?<!\\)\*", text):
+    if "*" in text:
         pattern = re.compile(_glob(text), re.S)
         return [c for c in columns if pattern.fullmatch(c)]
     return None

@@ -124,11 +124,10 @@ def partial_ratio(token: str, text: str) -> float:
         return 0.0
     if token in text:
         return 1.0
-    short, long = (token, text) if len(token) <= len(text) else (text, token)
     best = 0.0
-    for block in difflib.SequenceMatcher(None, short, long, autojunk=False).get_matching_blocks():
+    for block in difflib.SequenceMatcher(None, token, text, autojunk=False).get_matching_blocks():
         begin = max(0, block.b - block.a)
-        best = max(best, difflib.SequenceMatcher(None, short, long[begin : begin + len(short)], autojunk=False).ratio())
+        best = max(best, difflib.SequenceMatcher(None, token, text[begin : begin + len(token)], autojunk=False).ratio())
     return best
 
 

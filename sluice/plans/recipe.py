@@ -10,6 +10,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pathlib import Path
 from typing import Any
 
+import pandas as pd
 import yaml
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +42,7 @@ def load(recipe: str | Mapping | Callable, variables: Mapping[str, Any]) -> dict
         recipe = yaml.safe_load(template.bind(text, variables, strict=False) if "${" in text and text.strip().startswith("${") else text)
     if not isinstance(recipe, Mapping):
         raise ValueError("A recipe is a mapping of read, wrangles, write and run")
-    return template.bind(recipe, variables)
+    return {k: template.bind(v, variables, strict=k != "run") for k, v in recipe.items()}
 
 
 def merged(df: DataFrame, made: Mapping[str, Column], condition: Column | None) -> DataFrame:
@@ -123,8 +124,6 @@ def custom(ctx: Context, df: DataFrame, call: Callable, params: dict[str, Any])
     """A user's function: of the frame, where it takes df; else of each row's values by column name."""
     import inspect
 
-    import pandas as pd
-
     from sluice.operators.frame import _result
 
     taken = inspect.signature(call).parameters
