@@ -63,7 +63,7 @@ def case(ctx: Context, df: DataFrame, input, output, case: str = "lower"):
 
 @op("clean_whitespaces")
 def clean_whitespaces(ctx: Context, df: DataFrame, input, output, trim: bool = True, remove_literals: bool = True):
-    runs = r"(?U)\s{2,}|[  \u0081]" if remove_literals else r"[  \u0081]+"
+    runs = r"(?U)\s{2,}|[ \u2007\u0081]" if remove_literals else r"[ \u2007\u0081]+"
     ends = r"(?U)^\s+|\s+$"
     return each(df, input, output, lambda x: F.regexp_replace(F.regexp_replace(x, runs, " "), ends, "") if trim else F.regexp_replace(x, runs, " "), only_text=True)
 
