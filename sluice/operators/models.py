@@ -31,6 +31,16 @@ class Provider:
     def ask(self, operator: str, values: Sequence[Any], **settings: Any) -> list[Any]:
         raise NotImplementedError(f"This provider cannot {operator}")
 
+    def names(self, purpose: str | None = None) -> list[str]:
+        """The ids of the models there are."""
+        raise NotImplementedError("This provider has no models")
+
+    def train(self, model_id: str, purpose: str, columns: Sequence[str], data: Sequence[Sequence], **facts: Any) -> None:
+        raise NotImplementedError("This provider cannot be trained")
+
+    def delete(self, model_id: str) -> None:
+        raise NotImplementedError("This provider has no models")
+
 
 class LocalProvider(Provider):
     """Models given as tables: {id: {"purpose", "columns", "data"}}, and functions for the rest."""
@@ -48,6 +58,15 @@ class LocalProvider(Provider):
             raise NotImplementedError(f"No function was given for {operator}")
         return self.functions[operator](values, **settings)
 
+    def names(self, purpose: str | None = None) -> list[str]:
+        return [k for k, m in self.models.items() if purpose in (None, m.get("purpose"))]
+
+    def train(self, model_id: str, purpose: str, columns: Sequence[str], data: Sequence[Sequence], **facts: Any) -> None:
+        self.models[model_id] = {**facts, "purpose": purpose, "columns": list(columns), "data": [list(r) for r in data]}
+
+    def delete(self, model_id: str) -> None:
+        del self.models[model_id]
+
 
 provider: Provider = LocalProvider()
 

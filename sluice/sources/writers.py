@@ -194,16 +194,13 @@ def _train(purpose: str):
         from sluice.operators import models
 
         rows = [list(r) for r in df.toLocalIterator()]
-        known = getattr(models.provider, "models", None)
-        if known is None:
-            raise NotImplementedError("This provider cannot be trained")
         key = model_id or name
-        if action.upper() != "OVERWRITE" and key in known:
-            old = {str(r[0]): r for r in known[key]["data"]}
+        if action.upper() != "OVERWRITE" and key in models.provider.names():
+            old = {str(r[0]): r for r in models.provider.content(key)["data"]}
             new = {str(r[0]): r for r in rows}
             merged = {"UPSERT": {**old, **new}, "INSERT": {**new, **old}, "UPDATE": {**old, **{k: v for k, v in new.items() if k in old}}}[action.upper()]
             rows = list(merged.values())
-        known[key] = {"purpose": purpose, "name": name, "columns": df.columns, "data": rows}
+        models.provider.train(key, purpose, df.columns, rows, name=name)
 
     return call
 
