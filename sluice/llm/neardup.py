@@ -179,13 +179,14 @@ def linked(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = SIMILARITY
     def component(c: str) -> F.Column:
         return F.coalesce(F.col("component"), F.col(c))
 
-    # each class with the most central of its bands' leaders, then with the other leaders that it isn't joined to
+    # each class with the most central of its bands' leaders, then with the most central one that it isn't joined to
     stars = common.table(members.where("c <> leader").groupBy("c").agg(F.max(F.struct("rank", "leader")).alias("lead")).select(F.col("c").alias("a"), F.col("lead.leader").alias("b")), "stars")
     links = _confirmed(alike(stars), docs, classes, size, percent)
     found = common.table(common.components(links), "found")
-    apart = members.where("c <> leader").select("c", "leader").distinct().join(stars.toDF("c", "leader"), ["c", "leader"], "left_anti")
+    apart = members.where("c <> leader").select("c", "leader", "rank").distinct().join(stars.toDF("c", "leader"), ["c", "leader"], "left_anti")
     apart = apart.join(found.toDF("c", "k"), "c", "left").join(found.toDF("leader", "lk"), "leader", "left")
-    apart = common.table(apart.where(F.coalesce("k", "c") != F.coalesce("lk", "leader")).select(F.col("c").alias("a"), F.col("leader").alias("b")), "apart")
+    apart = apart.where(F.coalesce("k", "c") != F.coalesce("lk", "leader")).groupBy("c").agg(F.max(F.struct("rank", "leader")).alias("lead"))
+    apart = common.table(apart.select(F.col("c").alias("a"), F.col("lead.leader").alias("b")), "apart")
     if not apart.isEmpty():
         more = _confirmed(alike(apart), docs, classes, size, percent)
         links = common.table(links.union(more), "links")
