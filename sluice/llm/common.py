@@ -7,7 +7,6 @@ lost executor costs a task, not the lineage before the table.
 from __future__ import annotations
 
 import gc
-import itertools
 import tempfile
 import uuid
 
@@ -107,6 +106,11 @@ def batches(rows, limit: int):
         yield held
 
 
+def _mark(edges: DataFrame) -> tuple:
+    """What tells one edge set from another."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): rows (node, component), component the least node reachable.
 
@@ -114,23 +118,24 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     neighbours are gathered: each round is minima and joins.
     """
     edges = table(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    if edges.isEmpty():
+    before = _mark(edges)
+    if not before[0]:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    for _ in itertools.count() if most_rounds is None else range(most_rounds):
+    for _ in range(most_rounds):
         # large star: each node's larger neighbours point to the least of its neighbourhood
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         # small star: each node's smaller neighbours, and itself, point to the least of them
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.col("b").alias("x"), "m").where("x <> m").union(least.select(F.col("a"), "m")).toDF("a", "b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.col("b").alias("x"), "m").where("x <> m").union(least.select(F.col("a"), "m")).toDF("a", "b").distinct()
         new = table(small, "edges")
-        moved = new.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first(), edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         drop(edges)
         edges = new
-        if moved[0] == moved[1]:
+        after = _mark(edges)
+        if before == after:
             break
+        before = after
     else:
         raise RuntimeError("components did not settle")
     # a settled star forest: every node but a root has one edge, to its root
