@@ -5,7 +5,7 @@ set, band hashes of its minima and a signature of the low bits of each minimum.
 form a class, so copies cost one row each and no more. Classes that share a band are candidates; each
 band's classes are compared with its leader first, the class whose bands are the most crowded, and the packed signatures, by counting equal
 bits and correcting for chance, decide which pairs are worth an exact comparison of the full sets. What
-isn't linked with its band's leader after that is compared with the rest of the band, in a join
+isn't linked with its band's leader after that is compared with the whole band, leader included, in a join
 that passes on only pairs of different components that the signatures find alike. Linked classes become
 components by star contraction.
 
@@ -194,12 +194,12 @@ def linked(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = SIMILARITY
         found = common.table(common.components(links), "found")
     common.drop(crowd, stars, apart)
 
-    # what its band's leader didn't draw in is compared with the whole band
+    # what its band's leader didn't draw in is compared with the whole band, its leader too: no round before met all leaders
     at = members.join(found.withColumnRenamed("node", "c"), "c", "left").select("band", "leader", "c", component("c").alias("k"))
     lead = led.join(found.withColumnRenamed("node", "leader"), "leader", "left").select("band", component("leader").alias("lk"))
     rest = common.table(at.join(lead, "band").where("k <> lk").select("band", "c", "k").join(light, "c"), "rest")
     bands = rest.select("band").distinct()
-    whole = at.where("c <> leader").join(bands, "band", "left_semi").select("band", F.col("c").alias("c2"), F.col("k").alias("k2")).join(light.toDF("c2", "n2", "s2"), "c2")
+    whole = at.join(bands, "band", "left_semi").select("band", F.col("c").alias("c2"), F.col("k").alias("k2")).join(light.toDF("c2", "n2", "s2"), "c2")
     sized = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent
     near = rest.join(whole, (rest["band"] == whole["band"]) & (F.col("k") != F.col("k2")) & sized & (estimate("signature", "s2") >= WORTH))
     more = near.select(F.least("c", "c2").alias("a"), F.greatest("c", "c2").alias("b")).distinct()

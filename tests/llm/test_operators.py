@@ -87,6 +87,26 @@ def test_near_dedup(docs):
     assert kept.where("doc_id is null").count() == 1
 
 
+def test_near_dedup_meets_third_leader(spark, monkeypatch):
+    """1 is near to 0, the leader of their one common band, but shares bands with two hubs of higher rank (2 and 3)."""
+    base = words(1, 120)
+    texts = {0: base, 1: base.replace(base.split()[60], "changed")} | {k: words(k + 20, 120) for k in range(2, 30)}
+    bands = {0: [1, *range(40, 46)], 1: [1, 2, 3], 2: [2, *range(10, 16)], 3: [3, *range(20, 26)]}
+    bands |= {k: list(range(10, 16)) for k in range(4, 12)} | {k: list(range(20, 26)) for k in range(12, 19)} | {k: list(range(40, 46)) for k in range(19, 21)}
+    docs = spark.createDataFrame([(k, texts[k]) for k in bands], "doc_id long, text string")
+    sign = neardup._sign
+
+    def placed(docs, size):
+        given = spark.createDataFrame(list(bands.items()), "doc_id long, bands array<long>")
+        out = sign(docs, size).drop("bands").join(given, "doc_id")
+        alike = out.drop("signature").selectExpr("*", "array_repeat(0L, 16) as signature")
+        return alike.select("doc_id", "row", "key_a", "key_b", "n_shingles", "bands", "signature")
+
+    monkeypatch.setattr(neardup, "_sign", placed)
+    found = {r["doc_id"]: r["component_id"] for r in neardup.linked(docs, size=2).collect()}
+    assert found[0] == found[1] == 0 and all(found[k] == k for k in bands if k > 1)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(100, 101), (5, 5)], "a long, b long")
     found = {r["node"]: r["component"] for r in common.components(edges).collect()}
