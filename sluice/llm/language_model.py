@@ -5,7 +5,9 @@ state in windows, carrying the state from window to window to the end, and predi
 then the token within its class. The most frequent words form the classes of the head. Other words belong
 to a class by their shape (letters outside ASCII, length, last character), within which a word has its
 smoothed share of the training counts; so every text has a probability. Training is truncated
-backpropagation through time, in numpy, over whole documents of a bounded sample.
+backpropagation through time, in numpy. A bounded sample of short documents gives the weights to start
+from; from these each shard of the training rows is learned in one pass, texts of any length whole, and
+the shards' weights are averaged by their tokens. The head grows with the root of the distinct words.
 
 Word counts cover all training rows. Executors get the model and the counts of the KNOWN most frequent
 words, a bounded table; the counts of the rest come by a join on the word's hash.
@@ -17,11 +19,15 @@ count are all known or all left to the join. Extra columns are never read.
 
 from __future__ import annotations
 
+import copy
+import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,9 +36,12 @@ from . import common
 FOLDS, HELD_OUT = 7, 2
 HEAD, IN_CLASS, KNOWN = 1000, 32, 100_000
 STATE, WINDOW, LANES = 32, 32, 64
-#: The training sample: documents expected, most documents, and the longest text (characters) among them.
+#: The sample to start from: documents expected, most documents, and the longest text (characters) among them.
 SAMPLE, MOST_SAMPLE, LONGEST_SAMPLE = 800, 1600, 50_000
 EPOCHS, RATE, SCORING_LANES = 3, 4e-3, 192
+#: The pass over all training rows: tokens of a shard, most shards, and the rate to begin with.
+SHARD_TOKENS, MOST_SHARDS, PASS_RATE = 2_000_000, 256, 2e-3
+CHUNK = 16_384
 END = b""
 SHAPES = 2 * 3 * 4
 FLUSH = 200_000
@@ -91,20 +100,21 @@ class Network:
     def __init__(self, head: int, seed: int = 5) -> None:
         random = np.random.default_rng(seed)
         self.head = head
-        self.blocks = max(1, -(-head // IN_CLASS))
+        self.in_class = max(IN_CLASS, math.isqrt(max(0, head - 1)) + 1)
+        self.blocks = max(1, -(-head // self.in_class))
         self.classes = self.blocks + SHAPES
         h, scale = STATE, STATE**-0.5
         shapes = {
             "table": (head + SHAPES, 3 * h), "turn": (h, 3 * h), "bias": (3 * h,), "classes": (h, self.classes), "class_bias": (self.classes,),
-            "words": (self.blocks, h, IN_CLASS), "word_bias": (self.blocks, IN_CLASS),
+            "words": (self.blocks, h, self.in_class), "word_bias": (self.blocks, self.in_class),
         }
         self.w = {k: (np.zeros(s) if "bias" in k else random.normal(size=s) * scale).astype(np.float32) for k, s in shapes.items()}
-        spare = self.blocks * IN_CLASS - head
+        spare = self.blocks * self.in_class - head
         if spare:
-            self.w["word_bias"][-1, IN_CLASS - spare :] = -30  # no such words
+            self.w["word_bias"][-1, self.in_class - spare :] = -30  # no such words
 
     def class_of(self, ids: np.ndarray) -> np.ndarray:
-        return np.where(ids < self.head, ids // IN_CLASS, ids - self.head + self.blocks)
+        return np.where(ids < self.head, ids // self.in_class, ids - self.head + self.blocks)
 
     def run(self, inputs: np.ndarray, fresh: np.ndarray, state: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
         """States after each of (steps, lanes) inputs; fresh marks where a document begins and the state is zero."""
@@ -147,7 +157,7 @@ class Network:
             rows = order[cuts[k] : cuts[k + 1]]
             if not len(rows):
                 continue
-            s, word = states[rows], targets[rows] - k * IN_CLASS
+            s, word = states[rows], targets[rows] - k * self.in_class
             logits = s @ w["words"][k] + w["word_bias"][k]
             logits -= logits.max(axis=1, keepdims=True)
             odds = np.exp(logits)
@@ -246,6 +256,80 @@ def train(texts: list[np.ndarray], head: int, first: int) -> Network:
     return out
 
 
+def windows(texts: Iterator[np.ndarray], first: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """All texts through LANES lanes, each text whole in one lane: (WINDOW, LANES) of inputs, targets, text begins here, used."""
+    texts = iter(texts)
+    held: list[tuple[np.ndarray, int] | None] = [None] * LANES
+    while True:
+        inputs, targets = np.zeros((WINDOW, LANES), np.int32), np.zeros((WINDOW, LANES), np.int32)
+        fresh, used = np.zeros((WINDOW, LANES), bool), np.zeros((WINDOW, LANES), bool)
+        for lane in range(LANES):
+            row = 0
+            while row < WINDOW:
+                if held[lane] is None and (ids := next(texts, None)) is not None:
+                    held[lane] = (ids, 0)
+                if held[lane] is None:
+                    break
+                ids, at = held[lane]
+                n = min(WINDOW - row, len(ids) - at)
+                targets[row : row + n, lane] = ids[at : at + n]
+                inputs[row, lane], inputs[row + 1 : row + n, lane] = ids[at - 1] if at else first, ids[at : at + n - 1]
+                fresh[row, lane], used[row : row + n, lane] = not at, True
+                held[lane] = (ids, at + n) if at + n < len(ids) else None
+                row += n
+        if not used.any():
+            return
+        yield inputs, targets, fresh, used
+
+
+def learn_all(network: Network, texts: Iterator[np.ndarray], first: int, expected: int) -> int:
+    """One pass of a network over texts of about that many tokens; returns their number."""
+    adam = {"t": 0}
+    state = np.zeros((LANES, STATE), np.float32)
+    seen = 0
+    for inputs, targets, fresh, used in windows(texts, first):
+        lanes = np.flatnonzero(used.any(axis=0))
+        n = int(used.sum())
+        # a window of few tokens is a noisy one
+        adam["rate"] = PASS_RATE * max(0.1, 1 - seen / max(1, expected)) * math.sqrt(n / used.size)
+        state[lanes] = network.learn(inputs[:, lanes], targets[:, lanes], fresh[:, lanes], used[:, lanes], state[lanes], adam)
+        seen += n
+    return seen
+
+
+def learned(docs: DataFrame, start: Network, sent: Broadcast, first: int, total: int) -> Network:
+    """The network after a pass over all of docs, by shards that don't depend on how docs are partitioned."""
+    shards = max(1, min(MOST_SHARDS, total // SHARD_TOKENS))
+    begun = docs.sparkSession.sparkContext.broadcast(start)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mine = Reader(*sent.value)
+        rows = ((s, t) for part in parts for s, t in zip(part["shard"], part["text"], strict=True))
+        for shard, group in groupby(rows, lambda r: r[0]):
+            network = copy.deepcopy(begun.value)
+            n = learn_all(network, (mine.ids_of(t) for _, t in group), first, total // shards)
+            flat = np.concatenate([network.w[k].ravel() for k in sorted(network.w)])
+            for at in range(0, len(flat), CHUNK):
+                yield pd.DataFrame({"chunk": [at], "shard": [shard], "n": [n], "w": [flat[at : at + CHUNK].tobytes()]})
+
+    def mean(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["shard", "n"])
+        out = sum(n * np.frombuffer(w, np.float32).astype(float) for n, w in zip(group["n"], group["w"], strict=True)) / group["n"].sum()
+        return pd.DataFrame({"chunk": [group["chunk"].iloc[0]], "w": [out.astype(np.float32).tobytes()]})
+
+    dealt = docs.select("text", F.xxhash64("doc_id", "text").alias("at")).withColumn("shard", F.pmod("at", F.lit(shards)))
+    dealt = dealt.repartition("shard").sortWithinPartitions("shard", "at")
+    found = dealt.select("shard", "text").mapInPandas(run, "chunk long, shard long, n long, w binary").groupBy("chunk").applyInPandas(mean, "chunk long, w binary").collect()
+    out = copy.deepcopy(start)
+    if found:
+        flat = np.concatenate([np.frombuffer(r["w"], np.float32) for r in sorted(found, key=lambda r: r["chunk"])])
+        at = 0
+        for k in sorted(out.w):
+            out.w[k] = flat[at : at + out.w[k].size].reshape(out.w[k].shape).copy()
+            at += out.w[k].size
+    return out
+
+
 def log10_probs(network: Network, texts: list[np.ndarray], first: int) -> np.ndarray:
     """log10 of each whole text's probability, but for the words within shapes."""
     out = np.zeros(len(texts))
@@ -309,7 +393,7 @@ def scored(docs: DataFrame) -> DataFrame:
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     frequent = most_frequent(words).toPandas().sort_values(["n", "h"], ascending=[False, True], ignore_index=True)
     hashes, counts = frequent["h"].to_numpy(np.int64).view(np.uint64), frequent["n"].to_numpy(np.int64)
-    head = min(HEAD, len(hashes))
+    head = min(max(HEAD, 2 * math.isqrt(distinct)), len(hashes))
     # mass and distinct words of each shape outside the head
     by_shape = words.groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas()
     mass, kinds = np.zeros(SHAPES), np.zeros(SHAPES)
@@ -332,6 +416,7 @@ def scored(docs: DataFrame) -> DataFrame:
     sample = chosen.select("doc_id", F.pandas_udf(to_ids, "array<int>")("text").alias("ids")).collect()
     sample.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, len(r["ids"])))
     network = train([np.array(r["ids"], np.int32) for r in sample], head, first)
+    network = learned(training(docs), network, sent, first, total)
 
     base_log, shape_log = np.log10(total + distinct + 1), np.log10(mass + kinds + 1)
     model = spark.sparkContext.broadcast((network, base_log, shape_log, first))

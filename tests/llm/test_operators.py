@@ -158,6 +158,21 @@ def test_language_model(docs, monkeypatch):
     assert all(r["n_known"] <= r["n_tokens"] and r["score"] <= 0 for r in found)
 
 
+def test_language_model_learns_from_all_rows(spark):
+    """What stands only in texts too long for the sample is learned too."""
+    rows = [(k, words(k, 60)) for k in range(40)] + [(k, "ping pong " * 6000) for k in range(100, 112)]
+    docs = spark.createDataFrame(rows + [(1000, "ping pong " * 40), (1001, "ping ping " * 40)], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in language_model.scored(docs).collect()}
+    assert found[1000]["score"] / found[1000]["n_tokens"] > -0.3
+    assert found[1000]["score"] > found[1001]["score"] + 20
+
+
+def test_language_model_windows_hold_every_token():
+    texts = [language_model.np.arange(n) + 1 for n in (1, 5, 32, 33, 1000, *[7] * 200)]
+    seen = [t for _, targets, _, used in language_model.windows(iter(texts), 0) for t in targets[used].tolist()]
+    assert sorted(seen) == sorted(x for t in texts for x in t.tolist())
+
+
 def test_extraction(spark):
     rows = spark.createDataFrame([(1, "u", None), (2, "u", "<article><p>a, b</p></article>"), (2, "u", "<article><p>a, b</p></article>")], "page_id long, url string, html string")
     assert sorted(r[0] for r in rows.select(pages.extracted("html")).collect()) == ["", "a, b", "a, b"]
