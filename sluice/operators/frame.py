@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import random
 import re
 from collections.abc import Sequence
 
@@ -191,14 +193,40 @@ def tail(ctx: Context, df: DataFrame, n: int):
     return with_ordinal(df).orderBy(F.desc(ORDINAL)).limit(n).orderBy(ORDINAL).drop(ORDINAL)
 
 
+def _drawn(df: DataFrame, rows: int, random_state: int | None, weights: str | None) -> DataFrame:
+    """That many rows, at most as many as df has, each drawn from all of df by row number or by running weight."""
+    rows = min(rows, df.count())
+    if not rows:
+        return df.limit(0)
+    draws = df.sparkSession.range(rows).select(F.rand(random.randrange(1 << 31) if random_state is None else random_state).alias("__u"))
+    if not weights:
+        raw = with_position(df, "__at")
+        whole = raw.agg(F.max("__at")).first()[0] + 1
+        return raw.join(draws.select(F.floor(F.col("__u") * whole).alias("__at")), "__at").drop("__at")
+    raw = df.withColumn("__at", F.monotonically_increasing_id())
+    weighed = raw.select("__at", F.shiftright("__at", 33).alias("__part"), F.coalesce(name(weights).cast("double"), F.lit(0.0)).alias("__w"))
+    parts = weighed.groupBy("__part").agg(F.sum("__w").alias("w"), F.min("__w").alias("least")).orderBy("__part").collect()  # one row for each partition
+    if any(p["least"] < 0 for p in parts) or not any(p["w"] > 0 for p in parts):
+        raise ValueError("weights must not be negative, nor all zero")
+    parts = [p for p in parts if p["w"] > 0]
+    begins = [0.0, *itertools.accumulate(p["w"] for p in parts)]
+    x = F.col("__u") * begins.pop()
+    k = F.size(F.filter(F.array(*map(F.lit, begins)), lambda b: b <= x))
+    draws = draws.select(F.element_at(F.array(*[F.lit(p["__part"]) for p in parts]), k).alias("__part"), (x - F.element_at(F.array(*map(F.lit, begins)), k)).alias("__start"), F.lit(None).cast("long").alias("__at"))
+    before = F.sum("__w").over(Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1))
+    starts = weighed.where("__w > 0").select("__part", F.coalesce(before, F.lit(0.0)).alias("__start"), "__at")
+    here = Window.partitionBy("__part").orderBy("__start", F.col("__at").isNull(), "__at").rowsBetween(Window.unboundedPreceding, 0)
+    found = starts.union(draws).withColumn("__hit", F.last("__at", ignorenulls=True).over(here)).where("__at is null")
+    return raw.join(found.select(F.col("__hit").alias("__at")), "__at").drop("__at")
+
+
 @op("select.sample", kind="frame", expands=False)
 def sample(ctx: Context, df: DataFrame, rows, random_state: int | None = None, replace: bool = False, weights: str | None = None):
     """An exact number of rows, or exactly that share of them."""
     if rows < 1:
         rows = round(rows * df.count())
     if replace:
-        whole = df.count()
-        return df.sample(True, min(1.0, rows / max(1, whole)) * 1.5 + 0.01, random_state).limit(int(rows))
+        return _drawn(df, int(rows), random_state, weights)
     key = F.rand(random_state) if random_state is not None else F.rand()
     if weights:
         key = -F.pow(key, F.try_divide(F.lit(1.0), name(weights)))  # the largest keys are a weighted sample

@@ -205,3 +205,14 @@ def test_scan_is_pruned_and_filters_are_pushed(spark):
     made = recipe.run({"read": [{"file": {"name": "/root/testdata/sf0.001/lineitem.parquet"}}], "wrangles": [{"filter": {"where": "l_quantity > 10"}}, {"select.group_by": {"by": "l_returnflag", "sum": "l_tax"}}]}, spark)
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(l_quantity,10.0)" in plan and "l_comment" not in plan and "l_partkey" not in plan
+
+
+def test_sample_with_replacement_draws_from_the_whole_frame(spark):
+    df = spark.range(0, 20_000, numPartitions=7).selectExpr("id", "if(id >= 19000 and id % 2 = 0, 3.0, if(id < 1000, 1.0, 0.0)) as w")
+    found = [r["id"] for r in recipe.Frame(df).select.sample(rows=300, replace=True, random_state=1).df.collect()]
+    assert len(found) == 300 and min(found) < 2000 and max(found) > 18_000
+    small = [r["id"] for r in recipe.Frame(df.limit(9)).select.sample(rows=9, replace=True, random_state=2).df.collect()]
+    assert len(small) == 9 and len(set(small)) < 9
+    found = [r["id"] for r in recipe.Frame(df).select.sample(rows=1000, replace=True, random_state=3, weights="w").df.collect()]
+    late = [x for x in found if x >= 19_000]
+    assert len(found) == 1000 and all(x < 1000 or x >= 19_000 and x % 2 == 0 for x in found) and 520 < len(late) < 680
