@@ -104,14 +104,50 @@ def asked(operator: str, x: Column, **settings: Any) -> Column:
     return F.pandas_udf(run, "string")(x)
 
 
+def _matches(ctx: Context, df: DataFrame, source: str, outputs: list, names: list[str], data: list[list], key: str, n: int) -> DataFrame:
+    """The first n rows of the table for each value, as maps."""
+    if len(outputs) == 1 and isinstance(outputs[0], str) and "*" in outputs[0]:
+        outputs = [outputs[0].replace("*", str(k)) for k in range(1, n + 1)]
+    pairs = [next(iter(o.items())) if isinstance(o, dict) else (o, o) for o in outputs]
+    if len(pairs) not in (1, n):
+        raise ValueError(f"When n > 1 and multiple output columns are provided, the number of output columns ({len(pairs)}) must equal n ({n}).")
+    known = [ref in names for ref, _ in pairs]
+    if any(known) != all(known):
+        raise ValueError("Lookup may only contain all named or unnamed columns.")
+    wanted = list(dict.fromkeys(ref for ref, _ in pairs)) if all(known) else [c for c in names if c != key]
+    found: dict[str, list[dict]] = {}
+    for r in data:
+        held = found.setdefault(str(r[names.index(key)]), [])
+        if len(held) < n:
+            held.append({c: None if (v := r[names.index(c)]) is None else str(v) for c in wanted})
+    table = ctx.spark.createDataFrame(list(found.items()), "__ref_key string, __ref_rows array<map<string,string>>")
+    table = F.broadcast(table) if sum(map(len, found.values())) <= SMALL_MODEL else table
+    joined = df.join(table, name(source).cast("string") == F.col("__ref_key"), "left")
+    if len(pairs) == 1:
+        made = {pairs[0][1]: F.coalesce("__ref_rows", F.array().cast("array<map<string,string>>"))}
+    else:
+        made = {target: F.get("__ref_rows", F.lit(k)) for k, (_, target) in enumerate(pairs)}
+    return joined.withColumns(made).drop("__ref_key", "__ref_rows")
+
+
 @op("lookup", kind="split", expands=False)
 def lookup(ctx: Context, df: DataFrame, input, output=None, model_id=None, lookup_mode: str = "by_row", n=None, key: str | None = None, **kwargs):
-    """Columns of a reference table by its key; each key of the table counts once, its last row."""
+    """Columns of a reference table by its key: the last row of each key, or with n > 1 its first n rows.
+
+    Each of n matches is a map of columns; they are spread over n outputs, or over "Top *", else listed. All
+    lookup modes give the same rows here, since the table is joined once.
+    """
+    if lookup_mode not in ("by_row", "by_dataframe", "by_matrix"):
+        raise ValueError(f"lookup_mode {lookup_mode} is not known")
+    if n is not None and (not isinstance(n, int) or isinstance(n, bool) or n < 1):
+        raise ValueError("n must be a positive whole number")
     names, data = rows_of(model_id)
     key = key or ("Key" if "Key" in names else names[0])
     source = input[0] if isinstance(input, list) else input
     given = output if output is not None else source
     outputs = [given] if isinstance(given, (str, dict)) else list(given)
+    if n and n > 1:
+        return _matches(ctx, df, source, outputs, names, data, key, n)
     outputs = [c for o in outputs for c in ([x for x in names if x != key] if o == "*" else [o])]
     last = {str(r[names.index(key)]): r for r in data}
     small = len(last) <= SMALL_MODEL

@@ -216,3 +216,17 @@ def test_sample_with_replacement_draws_from_the_whole_frame(spark):
     found = [r["id"] for r in recipe.Frame(df).select.sample(rows=1000, replace=True, random_state=3, weights="w").df.collect()]
     late = [x for x in found if x >= 19_000]
     assert len(found) == 1000 and all(x < 1000 or x >= 19_000 and x % 2 == 0 for x in found) and 520 < len(late) < 680
+
+
+def test_lookup_of_several_matches(df):
+    models.use(models.LocalProvider({"m": {"columns": ["Key", "V", "W"], "data": [["q", "a", 1], ["other", "x", 2], ["q", "b", None], ["q", "c", 4]]}}))
+    by = lambda **more: {r.n: r for r in rows(df, {"lookup": {"input": "l", "model_id": "m", **more}})}
+    found = by(output="hits", n=3)
+    assert [h["V"] for h in found[2].hits] == ["a", "b", "c"] and found[2].hits[1]["W"] is None and found[1].hits == []
+    assert [h for h in by(output="V", n=2, lookup_mode="by_dataframe")[2].V] == [{"V": "a"}, {"V": "b"}]
+    found = by(output="Top *", n=4)
+    assert found[2]["Top 1"]["V"] == "a" and found[2]["Top 3"]["V"] == "c" and found[2]["Top 4"] is None and found[1]["Top 1"] is None
+    assert by(output={"V": "v"}, n=1)[2].v == by(output={"V": "v"})[2].v == "c"
+    for bad in ({"output": ["x", "y"], "n": 3}, {"output": ["V", "y"], "n": 2}, {"output": "x", "n": 0}, {"output": "x", "lookup_mode": "none"}):
+        with pytest.raises(ValueError):
+            by(**bad)
