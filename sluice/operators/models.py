@@ -166,7 +166,7 @@ def lookup(ctx: Context, df: DataFrame, input, output=None, model_id=None, looku
 
 @op("standardize")
 def standardize(ctx: Context, df: DataFrame, input, output, model_id, case_sensitive: bool = False):
-    """Find and replace by one model or several in turn; words match whole."""
+    """Find and replace by one model or several in turn; words match whole. Lists: in each element."""
     pairs = []
     for m in [model_id] if isinstance(model_id, str) else model_id:
         names, data = rows_of(m)
@@ -184,10 +184,13 @@ def standardize(ctx: Context, df: DataFrame, input, output, model_id, case_sensi
                 text = pattern.sub(new, text)
             return text
 
-        return pd.Series([None if t is None else one(t) for t in texts], dtype=object)
+        def any_of(t):
+            return None if t is None else one(t) if isinstance(t, str) else [None if x is None else one(x) for x in t]
 
-    call = F.pandas_udf(run, "string")
-    return {o: F.transform(name(i), lambda x: x) if is_list(df, i) else call(name(i).cast("string")) for i, o in zip(input, output, strict=True)}
+        return pd.Series([any_of(t) for t in texts], dtype=object)
+
+    call, call_list = F.pandas_udf(run, "string"), F.pandas_udf(run, "array<string>")
+    return {o: call_list(name(i).cast("array<string>")) if is_list(df, i) else call(name(i).cast("string")) for i, o in zip(input, output, strict=True)}
 
 
 @op("classify")

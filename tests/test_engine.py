@@ -230,3 +230,10 @@ def test_lookup_of_several_matches(df):
     for bad in ({"output": ["x", "y"], "n": 3}, {"output": ["V", "y"], "n": 2}, {"output": "x", "n": 0}, {"output": "x", "lookup_mode": "none"}):
         with pytest.raises(ValueError):
             by(**bad)
+
+
+def test_standardize_lists(spark):
+    models.use(models.LocalProvider({"s": {"columns": ["Find", "Replace"], "data": [["world", "Mars"]]}}))
+    df = spark.createDataFrame([(1, ["Hello World", None, "worlds"]), (2, []), (3, None)], "n long, x array<string>")
+    found = {r.n: r.y for r in rows(df, {"standardize": {"input": "x", "output": "y", "model_id": "s"}})}
+    assert found == {1: ["Hello Mars", None, "worlds"], 2: [], 3: None}
