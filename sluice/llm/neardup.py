@@ -15,7 +15,7 @@ signature threshold lies more than five standard deviations below it.
 Defined results: a document without words has an empty set and is linked with nothing, not even its own
 copies. Rows that repeat a doc_id are each a document; equal texts share their class. A null doc_id can
 be linked but never names a component that has another id; where a component has only null ids, its
-id is null; distinct() keeps every row without a doc_id. Ties go to the smaller doc_id. Extra columns are
+id is null; distinct() keeps every row without a doc_id, and of each component one row of its least doc_id. Ties go to the smaller doc_id. Extra columns are
 never read.
 """
 
@@ -154,7 +154,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int,
 
 
 def linked(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = SIMILARITY_PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs."""
+    """(doc_id, n_shingles, component_id) for each row of docs, with row, the key of its text, and k, its component's own name."""
     signed_docs = common.table(_sign(docs, size), "signed")
     grouped = signed_docs.where("n_shingles > 0").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("doc_id"), F.min_by("row", F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("row"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
     # a class is named by its key, so that it has a name where doc_id is null or repeated
@@ -212,24 +212,27 @@ def linked(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = SIMILARITY
     common.drop(led, members, rest, more)
     names = classes.join(found.withColumnRenamed("node", "c"), "c", "left").select("c", "key_a", "key_b", "doc_id", component("c").alias("k"))
     least = names.groupBy("k").agg(F.min("doc_id").alias("component_id"))
-    names = common.table(names.join(least, "k").select("key_a", "key_b", "component_id"), "names")
+    names = common.table(names.join(least, "k").select("key_a", "key_b", "k", "component_id"), "names")
     common.drop(links, found, classes)
-    out = signed_docs.select("doc_id", "n_shingles", "key_a", "key_b").join(names, ["key_a", "key_b"], "left")
+    out = signed_docs.select("doc_id", "row", "n_shingles", "key_a", "key_b").join(names, ["key_a", "key_b"], "left")
     alone = F.col("n_shingles") == 0
-    return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "key_a", "key_b")
+    return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "key_a", "key_b", "row", "k")
 
 
 def distinct(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = SIMILARITY_PERCENT) -> DataFrame:
     """docs with one row of each group of near-duplicates: the one with the least doc_id.
 
-    Of rows that repeat that doc_id one stays; rows without words or doc_id all stay.
+    Of rows of one group that repeat that doc_id one stays; rows without words or doc_id all stay.
     """
     found = linked(docs, size, percent)
-    kept = found.where(F.col("component_id") == F.col("doc_id")).groupBy("doc_id").agg(F.min("key_a").alias("_key"))
-    kept = common.table(kept.withColumnRenamed("doc_id", "_id"), "kept")
-    rows = docs.join(kept.select("_id"), docs["doc_id"] == F.col("_id"), "left_semi")
-    full = F.length(F.trim(F.coalesce(rows["text"], F.lit("")), F.lit(common.SPACE))) > 0
-    return rows.where(full).dropDuplicates(["doc_id"]).union(rows.where(~full)).union(docs.where(docs["doc_id"].isNull()))
+    # a doc_id that repeats with different texts can name several components: each keeps its own row
+    earned = found.where((F.col("component_id") == F.col("doc_id")) & (F.col("n_shingles") > 0))
+    kept = earned.groupBy("k").agg(F.min(F.struct("key_a", "key_b", "row", "doc_id")).alias("x"))
+    kept = common.table(kept.select(F.col("x.doc_id").alias("_id"), F.col("x.row").alias("_row")), "kept")
+    full = F.length(F.trim(F.coalesce(docs["text"], F.lit("")), F.lit(common.SPACE))) > 0
+    rows = docs.where(full).withColumn("_text_key", common.text_key(docs["text"]))
+    rows = rows.join(kept, (rows["doc_id"] == F.col("_id")) & (rows["_text_key"] == F.col("_row")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "_text_key"]).drop("_text_key").union(docs.where(~full & docs["doc_id"].isNotNull())).union(docs.where(docs["doc_id"].isNull()))
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,6 +107,15 @@ def test_near_dedup_meets_third_leader(spark, monkeypatch):
     assert found[0] == found[1] == 0 and all(found[k] == k for k in bands if k > 1)
 
 
+def test_near_dedup_of_repeated_ids(spark):
+    """Of 5's three texts one is near to 1, and two others are near to nothing."""
+    base = words(1, 120)
+    texts = [(1, base), (5, base.replace(base.split()[60], "changed")), (5, words(40, 90)), (5, words(41, 90)), (5, words(41, 90)), (5, words(41, 90).upper())]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    kept = sorted((r["doc_id"], r["text"].lower()) for r in neardup.distinct(docs, size=2).collect())
+    assert kept == sorted([(1, base), (5, words(40, 90)), (5, words(41, 90))])
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(100, 101), (5, 5)], "a long, b long")
     found = {r["node"]: r["component"] for r in common.components(edges).collect()}
