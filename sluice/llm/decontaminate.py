@@ -10,7 +10,7 @@ The benchmark is the query set: it goes over all documents in blocks of at most
 so what is sent to executors is bounded whatever the benchmark's size.
 
 Defined results: null and empty texts match nothing; items with fewer than MIN_CHARS normalised
-characters are too short to tell and are skipped, as null items are; repeated documents and items give a
+characters match only without an error and as whole words; null items and those without letters or digits match nothing; repeated documents and items give a
 row each; an item found more than once in a text gives one row, of the least distance, then the earliest
 end. Texts of any length are searched whole. Extra columns are never read.
 """
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Errors allowed in a hundred characters of an item, and the shortest item that counts.
+#: Errors allowed in a hundred characters of an item, and the shortest item that may have errors.
 ERROR_PERCENT, MIN_CHARS = 5, 50
 BLOCK_CHARS = 2_000_000
 
@@ -79,7 +79,7 @@ class Matcher:
     """Finds the items of one block in texts."""
 
     def __init__(self, items: list[tuple[int, str]], percent: int = ERROR_PERCENT) -> None:
-        self.items = [(i, t, len(t) * percent // 100) for i, t in items]
+        self.items = [(i, t, len(t) * percent // 100 if len(t) >= MIN_CHARS else 0) for i, t in items]
         places: dict[str, list[tuple[int, int]]] = {}
         for k, (_, text, budget) in enumerate(self.items):
             for at, piece in pieces(text, budget):
@@ -105,6 +105,11 @@ class Matcher:
             item_id, item, budget = self.items[k]
             best = (budget + 1, -1)
             places.sort()
+            if len(item) < MIN_CHARS:
+                ends = [p + len(item) for p in places]
+                whole = [e - 1 for p, e in zip(places, ends, strict=True) if (not p or text[p - 1] == " ") and text[e : e + 1] in ("", " ")]
+                out += [(item_id, 0, end) for end in whole[:1]]
+                continue
             at = 0
             while at < len(places):  # starts close together share one stretch
                 first = last = places[at]
@@ -122,7 +127,7 @@ class Matcher:
 
 def blocks_of(items: DataFrame, most: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
     """The benchmark's usable items, normalised, in blocks; one block at a time is on the driver."""
-    rows = ((len(t), (r["item_id"], t)) for r in items.select("item_id", "text").toLocalIterator() if len(t := normal(r["text"])) >= MIN_CHARS)
+    rows = ((len(t), (r["item_id"], t)) for r in items.select("item_id", "text").toLocalIterator() if (t := normal(r["text"])))
     yield from common.batches(rows, most)
 
 

@@ -131,6 +131,14 @@ def test_decontamination(spark, docs):
     assert kept.columns == docs.columns and kept.count() == docs.count() - 1
 
 
+def test_decontamination_of_short_items(spark):
+    docs = spark.createDataFrame([(1, "So: what is the CAPITAL of France? Paris."), (2, "what is the capital of francesca"), (3, "what is the capitol of france"), (4, "What is the capital of France"), (5, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "What is the capital of France?"), (8, " ?! "), (9, None)], "item_id long, text string")
+    found = sorted((r["doc_id"], r["item_id"], r["distance"], r["found_end"]) for r in decontaminate.matches(docs, items).collect())
+    assert found == [(1, 7, 0, 31), (4, 7, 0, 28)]
+    assert sorted(r["doc_id"] for r in decontaminate.clean(docs, items).collect()) == [2, 3, 5]
+
+
 def test_bpe_digest(docs):
     found = bpe.digest(docs).collect()
     assert len(found) == docs.count()
