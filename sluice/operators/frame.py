@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from sluice import columns, dialect
 from sluice.operators.text import kind
-from sluice.order import ORDINAL, name, with_ordinal, with_position
+from sluice.order import ORDINAL, name, settled, with_ordinal, with_position
 from sluice.registry import Context, op
 
 
@@ -203,7 +203,7 @@ def _drawn(df: DataFrame, rows: int, random_state: int | None, weights: str | No
         raw = with_position(df, "__at")
         whole = raw.agg(F.max("__at")).first()[0] + 1
         return raw.join(draws.select(F.floor(F.col("__u") * whole).alias("__at")), "__at").drop("__at")
-    raw = df.withColumn("__at", F.monotonically_increasing_id())
+    raw = settled(df).withColumn("__at", F.monotonically_increasing_id())
     weighed = raw.select("__at", F.shiftright("__at", 33).alias("__part"), F.coalesce(name(weights).cast("double"), F.lit(0.0)).alias("__w"))
     parts = weighed.groupBy("__part").agg(F.sum("__w").alias("w"), F.min("__w").alias("least")).orderBy("__part").collect()  # one row for each partition
     if any(p["least"] < 0 for p in parts) or not any(p["w"] > 0 for p in parts):
@@ -224,6 +224,7 @@ def _drawn(df: DataFrame, rows: int, random_state: int | None, weights: str | No
 def sample(ctx: Context, df: DataFrame, rows, random_state: int | None = None, replace: bool = False, weights: str | None = None):
     """An exact number of rows, or exactly that share of them."""
     if rows < 1:
+        df = settled(df)
         rows = round(rows * df.count())
     if replace:
         return _drawn(df, int(rows), random_state, weights)
@@ -316,7 +317,7 @@ def accordion(ctx: Context, df: DataFrame, wrangles, input, output=None, propaga
     """The steps over the elements of lists, gathered again row by row."""
     inputs = columns.expand(df.columns, input)
     outputs = inputs if output is None else [output] if isinstance(output, str) else list(output)
-    base = with_ordinal(df, "__row")
+    base = with_ordinal(settled(df), "__row")  # read twice: for its lists and for the rest of its rows
     kept = columns.expand(df.columns, propagate) if propagate else []
     lists = [name(c) if isinstance(kind(df, c), T.ArrayType) else F.from_json(name(c), "array<string>").alias(c) for c in inputs]
     rows = base.select("__row", *map(name, kept), *[x.alias(c) for x, c in zip(lists, inputs, strict=True)])

@@ -72,11 +72,13 @@ for _how in ("inner", "left", "right", "outer"):
     _sql = {"inner": "join", "left": "left join", "right": "right join", "outer": "full join"}[_how]
     query(
         f"join_{_how}",
-        [{"join": {"how": _how, "left_on": "o_custkey", "right_on": "c_custkey", "sources": [{"file": {"name": "orders"}}, {"file": {"name": "customer", "where": "c_custkey % 3 <> 0"}}]}}],
+        [{"join": {"how": _how, "left_on": "o_custkey", "right_on": "c_custkey", "sources": [{"file": {"name": "orders"}}, {"file": {"name": "customer"}}]}}],
         None,
-        f"select o_orderkey, o_custkey, o_totalprice, c_custkey, c_name, c_mktsegment from orders {_sql} (select * from customer where c_custkey % 3 <> 0) c on o_custkey = c_custkey",
+        f"select o_orderkey, o_custkey, o_totalprice, c_custkey, c_name, c_mktsegment from orders {_sql} customer on o_custkey = c_custkey",
         ["o_orderkey", "o_custkey", "o_totalprice", "c_custkey", "c_name", "c_mktsegment"],
     )
+for _how, _sql in (("left", "left join"), ("right", "right join"), ("outer", "full join")):  # keys that either side lacks
+    query(f"join_partial_{_how}", [{"join": {"how": _how, "left_on": "n_nationkey", "right_on": "p_size", "sources": [{"file": "nation"}, {"file": "part"}]}}], None, f"select n_nationkey, n_name, p_partkey, p_size from nation {_sql} part on n_nationkey = p_size", ["n_nationkey", "n_name", "p_partkey", "p_size"])
 query("join_cross", [{"join": {"how": "cross", "sources": [{"file": "region"}, {"file": "nation"}]}}], None, "select r_regionkey, r_name, n_nationkey, n_name, n_regionkey from region cross join nation")
 query("union_reads", [{"union": {"sources": [{"file": "nation"}, {"file": "region"}]}}], None, "select * from nation union all by name select * from region")
 query("implicit_union", [{"file": {"name": "nation", "columns": ["n_name"]}}, {"file": {"name": "nation", "columns": ["n_name"], "where": "n_regionkey = 1"}}], None, "select n_name from nation union all select n_name from nation where n_regionkey = 1")
@@ -133,6 +135,7 @@ query("tail", "nation", [step("sort", by="n_nationkey"), step("select.tail", n=5
 query("sample_rows", "orders", [step("select.sample", rows=100, random_state=1), step("select.group_by", count=[{"o_orderkey": "n"}])], "select cast(100 as bigint) n")
 query("index_by", "nation", [step("sort", by="n_nationkey"), step("create.index", output="i", start=10, step=5, by="n_regionkey")], "select *, 10 + 5 * (row_number() over (partition by n_regionkey order by n_nationkey) - 1) i from nation")
 query("index_global", "nation", [step("create.index", output="i")], "select *, row_number() over (order by n_nationkey) i from nation")
+query("index_after_sort", "lineitem", [step("sort", by=["l_extendedprice", "l_orderkey", "l_linenumber"], ascending=[False, True, True]), step("create.index", output="i")], "select l_orderkey, l_linenumber, row_number() over (order by l_extendedprice desc, l_orderkey, l_linenumber) i from lineitem", ["l_orderkey", "l_linenumber", "i"])
 query("drop_duplicates", "lineitem", [step("pandas.drop_duplicates", parameters={"subset": ["l_orderkey", "l_returnflag"]}), step("select.group_by", by="l_returnflag", count=[{"l_orderkey": "n"}])], "select l_returnflag, count(distinct l_orderkey) n from lineitem group by 1")
 
 # sql
@@ -204,6 +207,7 @@ query("compare_lists", "part", [step("create.column", output="t", value="small r
 query("coalesce", "part", [step("create.column", output="e", value=""), step("merge.coalesce", input=["e", "p_name"], output="v")], "select p_partkey, p_name v from part", ["p_partkey", "v"])
 query("key_value_pairs", "part", [step("merge.key_value_pairs", input={"p_brand": "p_type"}, output="m"), step("convert.to_json", input="m", output="v")], """select p_partkey, '{"' || p_brand || '":"' || p_type || '"}' v from part""", ["p_partkey", "v"])
 query("accordion", "part", [step("split.text", input="p_name", output="w", char=" "), step("accordion", input="w", output="u", wrangles=[step("convert.case", input="w", output="u", case="upper")]), step("merge.concatenate", input="u", output="v", char="|")], "select p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w)), '|') v from part", ["p_partkey", "v"])
+query("accordion_after_sort", "lineitem", [step("merge.concatenate", input=["l_orderkey", "l_linenumber"], output="t", char=" "), step("split.text", input="t", output="w", char=" "), step("sort", by="l_extendedprice"), step("accordion", input="w", output="u", wrangles=[step("format.prefix", input="w", output="u", value="x")]), step("merge.concatenate", input="u", output="v", char="|")], "select l_orderkey, l_linenumber, 'x' || l_orderkey || '|x' || l_linenumber v from lineitem", ["l_orderkey", "l_linenumber", "v"])
 query("transpose", "region", [step("transpose", header_column="r_name")], None)
 
 # vectors
