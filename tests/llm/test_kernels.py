@@ -220,7 +220,49 @@ def test_scoring_ignores_how_texts_are_laid_out():
         ('<div class="sidebar"><p>a, b, c, d</p></div><div id="content"><p>Long text, with commas, goes here.</p><div class="comments"><p>me, too</p></div></div>', "Long text, with commas, goes here."),
         ("<script>var x='<p>no</p>'</script><style>p{}</style><main><p>yes, this</p></main>", "yes, this"),
         ("<form><p>Name, please</p></form><article><p>Body text.</p></article>", "Body text."),
+        ("<form id=aspnetForm><nav><a href=a>m</a></nav><h1>Title</h1><p>One, long text.</p><p>Two.</p></form>", "Title\nOne, long text.\nTwo."),
+        ("<body><form id=aspnetForm><article><p>One, long text.</p></article><div class=footer>x</div></form>", "One, long text."),
+        ('<div class="post reader-view"><h1>T</h1><p>One, long text.</p></div>', "T\nOne, long text."),
+        ('<div class="article-content has-sidebar"><p>One, long text.</p><p>Two.</p><div class="sidebar"><p>no</p></div></div>', "One, long text.\nTwo."),
+        ("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> hold, and more, here.</p>", "Let x=2 hold, and more, here."),
+        ("<article><svg viewBox=a><path d=b/><p>One, text.</p><p>Two.</p></article>", "One, text.\nTwo."),
+        ("<article><template><p>One, text.</p><p>Two.</p></article>", "One, text.\nTwo."),
+        ("<article><svg><title>no</title><g><text>no</text></g></svg><p>One, text.</p></article>", "One, text."),
+        ("<nav><ul><li><a href=a>m</a><article><h1>T</h1><p>One, text.</p><p>Two.</p></article>", "T\nOne, text.\nTwo."),
+        ('<div class="ad"><p>A long, long, long notice, here.</p></div><article><p>Of.</p></article>', "Of."),
+        ('<aside><p>A long, long, long notice, here.</p><p>And more, of it.</p></aside><main><p>Of.</p></main>', "Of."),
+        ('<div class="comments"><h1>c</h1><p>me, too, and a long one at that</p><p>more</p></div><p>Body.</p>', "Body."),
+        ("<p>1 < 2 and a<b, c", "1 < 2 and a"),
+        ('<p>One <a href="x>two</a> three, four.</p>', "One two three, four."),
+        ('<p title="a > b">One</p><p title=\'a > b\'>Two</p>', "One\nTwo"),
     ],
 )
 def test_pages(page, text):
     assert pages.article(page) == text
+
+
+@pytest.mark.parametrize("unit", ["<x ", '<a "', "</b>", "<b>", "<div>", "<i><div></i>", "<title>", "<!--", "<svg>", "<p><b>", "<dt><b>", '<a b="', "<a b='\"", "<li><ul>", "< ", "</", "<a =", "<td><table>", "a&", "<b></i>"])
+def test_pages_of_a_megabyte_take_linear_time(unit):
+    import time
+
+    page = "<article><p>Text, first.</p>" + unit * (1_000_000 // len(unit)) + "</article>"
+    begun = time.process_time()
+    pages.article(page)
+    assert time.process_time() - begun < 8
+
+
+def test_deep_pages_keep_their_text():
+    page = "<article>" + "<div>" * 3000 + "<p>One, text.</p>" + "</div>" * 3000 + "<p>Two, text.</p></article>"
+    assert pages.article(page) == "One, text.\nTwo, text."
+
+
+def test_pages_of_the_table_give_their_articles():
+    """Against the text between each page's article tags, block by block."""
+    import html
+    import re
+
+    duckdb = pytest.importorskip("duckdb")
+    for (page,) in duckdb.sql("select html from '/root/testdata/sf0.01/pages.parquet'").fetchall():
+        body = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+        parts = [" ".join(html.unescape(re.sub(r"</?b>", "", x).replace("<br>", " ")).split()) for x in re.split(r"</?(?:p|h1)>", body)]
+        assert pages.article(page) == "\n".join(x for x in parts if x)
