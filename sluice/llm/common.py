@@ -1,44 +1,63 @@
 """Helpers that the training-data operators share.
 
 Intermediate tables are written as Parquet below ``spark.checkpoint.dir``, which a cluster shares, so a
-lost executor costs a task, not the lineage before the table.
+lost executor costs a task, not the lineage before the table. A table lives until drop() or until the
+scope() around it ends; what a returned frame reads must outlive it, so that is for the caller to close.
 """
 
 from __future__ import annotations
 
-import gc
-import tempfile
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice import order
+
 #: White space as the operators' contracts define it; bytes.split() and bytes.strip() use the same six.
 SPACE = " \t\n\x0b\x0c\r"
 MASK = (1 << 64) - 1
 
 
+#: Frees the shuffle files of a write as soon as it ends; nothing reads them again.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_scopes: list[list[DataFrame]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where the session names none (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="sluice-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    """The cluster's shared folder; where the session names none, a local one if a single machine runs all."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or order.checkpoint_dir(spark)).rstrip("/")
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[None]:
+    """Tables made inside that still stand are deleted at the end."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        drop(*_scopes.pop())
 
 
 def table(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """df written to a new shared table and read back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sluice/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of what has been written
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before) if before is not None else spark.conf.unset(_CLEAN_UP)
     out = spark.read.schema(df.schema).parquet(path)
     out.sluice_path = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
@@ -115,7 +134,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): rows (node, component), component the least node reachable.
 
     Large-star and small-star in turn until an edge set repeats, one shared table a round. No node's
-    neighbours are gathered: each round is minima and joins.
+    neighbours are gathered: each round is minima and joins. Nodes are of any ordered type.
     """
     edges = table(edges.select("a", "b").where("a <> b").distinct(), "edges")
     before = _mark(edges)

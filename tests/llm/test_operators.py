@@ -100,7 +100,7 @@ def test_near_dedup_meets_third_leader(spark, monkeypatch):
         given = spark.createDataFrame(list(bands.items()), "doc_id long, bands array<long>")
         out = sign(docs, size).drop("bands").join(given, "doc_id")
         alike = out.drop("signature").selectExpr("*", "array_repeat(0L, 16) as signature")
-        return alike.select("doc_id", "row", "key_a", "key_b", "n_shingles", "bands", "signature")
+        return alike.select("doc_id", "row", "key", "n_shingles", "bands", "signature")
 
     monkeypatch.setattr(neardup, "_sign", placed)
     found = {r["doc_id"]: r["component_id"] for r in neardup.linked(docs, size=2).collect()}
@@ -116,6 +116,40 @@ def test_near_dedup_of_repeated_ids(spark):
     assert kept == sorted([(1, base), (5, words(40, 90)), (5, words(41, 90))])
 
 
+@pytest.mark.parametrize(("size", "tile"), [(2, 512), (2, 4), (5, 4)])
+def test_near_dedup_against_brute_force(spark, monkeypatch, size, tile):
+    """Families of edited copies, some near to one another and many a little too far, dealt into small tiles."""
+    import random
+
+    random.seed(size)
+    texts = []
+    for family in range(3):
+        base = words(family + 50, 150).split()
+        for _ in range(60):
+            edited = list(base)
+            for _ in range(random.randrange(25 if size == 2 else 8)):
+                edited[random.randrange(150)] = f"new{random.randrange(10**6)}"
+            texts.append(" ".join(edited))
+    texts += [words(k, 60) for k in range(20)]
+    sets = [set(zip(*[t.split()[k:] for k in range(size)], strict=False)) for t in texts]
+    least = list(range(len(texts)))
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    for _ in texts:
+        for i, j in links:
+            least[i] = least[j] = min(least[i], least[j])
+    monkeypatch.setattr(neardup._across, "__defaults__", (tile,))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in neardup.linked(docs, size=size).collect()}
+    assert [found[k] for k in range(len(texts))] == least
+    assert len(set(least)) > 25
+
+
+def test_near_dedup_passes_clashing_columns_through(spark):
+    rows = [(1, words(1, 60), 7, 8, 9), (2, words(1, 60), 7, 8, 9), (3, words(2, 60), 7, 8, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id long, row long, `id` long")
+    assert sorted(map(tuple, neardup.distinct(docs).collect())) == [rows[0], rows[2]]
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(100, 101), (5, 5)], "a long, b long")
     found = {r["node"]: r["component"] for r in common.components(edges).collect()}
