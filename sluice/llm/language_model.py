@@ -2,12 +2,13 @@
 
 Tokens are words with A-Z lower-cased, and one end for each text. The network reads each text from a zero
 state in windows, carrying the state from window to window to the end, and predicts a token's class and
-then the token within its class. The most frequent words form the classes of the head. Other words belong
-to a class by their shape (letters outside ASCII, length, last character), within which a word has its
-smoothed share of the training counts; so every text has a probability. Training is truncated
-backpropagation through time, in numpy. A bounded sample of short documents gives the weights to start
-from; from these each shard of the training rows is learned in one pass, texts of any length whole, and
-the shards' weights are averaged by their tokens. The head grows with the root of the distinct words.
+then the token within its class. The most frequent words form the classes of the head, the fewer the more
+frequent. All others are the last class, within which a word is predicted by its shape (letters outside
+ASCII, length, last character) and has, within its shape, its smoothed share of the training counts; so every
+text has a probability. Training is truncated backpropagation through time, in numpy. A bounded sample of
+short documents gives the weights to start from; from these each shard of the training rows is learned in one
+pass, texts of any length whole. The shards grow in number with the rows, not in size; each task adds up the
+weights of its own, and their mean by tokens is the model. The head grows with the root of the distinct words.
 
 Word counts cover all training rows. Executors get the model and the counts of the KNOWN most frequent
 words, a bounded table; the counts of the rest come by a join on the word's hash.
@@ -34,14 +35,17 @@ from pyspark.sql import functions as F
 from . import common
 
 FOLDS, HELD_OUT = 7, 2
-HEAD, IN_CLASS, KNOWN = 1000, 32, 100_000
-STATE, WINDOW, LANES = 32, 32, 64
+HEAD, FIRST_CLASS, KNOWN = 1000, 16, 100_000
+STATE, WINDOW, LANES, START_LANES = 32, 32, 256, 64
+#: Steps that are laid out at a time, to be cut into windows.
+STRETCH = 4 * WINDOW
 #: The sample to start from: documents expected, most documents, and the longest text (characters) among them.
 SAMPLE, MOST_SAMPLE, LONGEST_SAMPLE = 800, 1600, 50_000
-EPOCHS, RATE, SCORING_LANES = 3, 4e-3, 192
-#: The pass over all training rows: tokens of a shard, most shards, and the rate to begin with.
-SHARD_TOKENS, MOST_SHARDS, PASS_RATE = 2_000_000, 256, 2e-3
-CHUNK = 16_384
+EPOCHS, RATE = 3, 4e-3
+#: The pass over all training rows: tokens of a shard, and the rate to begin with.
+SHARD_TOKENS, PASS_RATE = 2_000_000, 4e-3
+#: Weights are added up in chunks of so many, of at most so many tasks at a time.
+CHUNK, FAN = 16_384, 256
 END = b""
 SHAPES = 2 * 3 * 4
 FLUSH = 200_000
@@ -90,124 +94,186 @@ def counted(docs: DataFrame) -> DataFrame:
     return found.groupBy("h").agg(F.min("shape").alias("shape"), F.sum("n").alias("n"))
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def class_edges(head: int) -> np.ndarray:
+    """Where the classes of the head's words begin and end: FIRST_CLASS words, and then an eighth of the words before."""
+    edges = [0]
+    while edges[-1] < head:
+        edges.append(min(head, edges[-1] + max(FIRST_CLASS, edges[-1] // 8)))
+    return np.array(edges, np.int64)
+
+
+def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """x as odds, in place, with their sums; each row's greatest is 1."""
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    return x, x.sum(axis=1)
 
 
 class Network:
-    """A gated recurrent network with a class-factored softmax; float32 throughout."""
+    """A gated recurrent network with a class-factored softmax; float32 throughout.
+
+    The first factor is a word's class: one for each stretch of the head's words by frequency, and one for all
+    words outside it. The second is the word within its class, or the shape of a word outside the head.
+    """
 
     def __init__(self, head: int, seed: int = 5) -> None:
         random = np.random.default_rng(seed)
         self.head = head
-        self.in_class = max(IN_CLASS, math.isqrt(max(0, head - 1)) + 1)
-        self.blocks = max(1, -(-head // self.in_class))
-        self.classes = self.blocks + SHAPES
+        # the words outside the head, by shape, are the last class
+        self.edges = np.append(class_edges(head), head + SHAPES)
+        self.classes = len(self.edges) - 1
+        self.of_class = np.repeat(np.arange(self.classes, dtype=np.int16), np.diff(self.edges))
         h, scale = STATE, STATE**-0.5
         shapes = {
-            "table": (head + SHAPES, 3 * h), "turn": (h, 3 * h), "bias": (3 * h,), "classes": (h, self.classes), "class_bias": (self.classes,),
-            "words": (self.blocks, h, self.in_class), "word_bias": (self.blocks, self.in_class),
+            "table": (head + SHAPES, 3 * h), "turn": (h, 3 * h), "bias": (3 * h,), "classes": (self.classes, h), "class_bias": (self.classes,),
+            "words": (head + SHAPES, h), "word_bias": (head + SHAPES,),
         }
         self.w = {k: (np.zeros(s) if "bias" in k else random.normal(size=s) * scale).astype(np.float32) for k, s in shapes.items()}
-        spare = self.blocks * self.in_class - head
-        if spare:
-            self.w["word_bias"][-1, self.in_class - spare :] = -30  # no such words
-
-    def class_of(self, ids: np.ndarray) -> np.ndarray:
-        return np.where(ids < self.head, ids // self.in_class, ids - self.head + self.blocks)
 
-    def run(self, inputs: np.ndarray, fresh: np.ndarray, state: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def run(self, inputs: np.ndarray, fresh: np.ndarray, state: np.ndarray, keep: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
         """States after each of (steps, lanes) inputs; fresh marks where a document begins and the state is zero."""
         h, turn = STATE, self.w["turn"]
-        given = self.w["table"][inputs] + self.w["bias"]
-        out = np.empty((*inputs.shape, h), np.float32)
-        go_on = (~fresh).astype(np.float32)[:, :, None]
-        for t in range(len(inputs)):
-            before = state * go_on[t]
-            turned = before @ turn
-            gates = _sigmoid(given[t, :, : 2 * h] + turned[:, : 2 * h])
+        steps, lanes = inputs.shape
+        given = self.w["table"][inputs]
+        given += self.w["bias"]
+        given[:, :, : 2 * h] *= 0.5  # sigmoid(x) is tanh(x / 2) / 2 + 1 / 2
+        half = turn.copy()
+        half[:, : 2 * h] *= 0.5
+        out = np.empty((steps, lanes, h), given.dtype)
+        begins = fresh.any(axis=1)
+        if keep is not None:
+            keep |= {"before": np.empty_like(out), "candidate": np.empty_like(out), "gates": np.empty((steps, lanes, 2 * h), out.dtype), "new": np.empty_like(out)}
+        turned = np.empty((lanes, 3 * h), out.dtype)
+        for t in range(steps):
+            if begins[t]:
+                state = np.where(fresh[t][:, None], out.dtype.type(0), state)
+            np.matmul(state, half, out=turned)
+            gates = given[t, :, : 2 * h]
+            gates += turned[:, : 2 * h]
+            np.tanh(gates, out=gates)
+            gates *= 0.5
+            gates += 0.5
             update, reset = gates[:, :h], gates[:, h:]
-            new = np.tanh(given[t, :, 2 * h :] + reset * turned[:, 2 * h :])
-            state = new + update * (before - new)
-            out[t] = state
+            new = given[t, :, 2 * h :]
             if keep is not None:
-                keep.append((before, turned[:, 2 * h :], update, reset, new))
+                keep["before"][t], keep["candidate"][t] = state, turned[:, 2 * h :]
+            new += reset * turned[:, 2 * h :]
+            np.tanh(new, out=new)
+            following = out[t]
+            np.subtract(state, new, out=following)
+            following *= update
+            following += new
+            state = following
+        if keep is not None:
+            keep["gates"], keep["new"] = given[:, :, : 2 * h], given[:, :, 2 * h :]
         return out, state
 
     def log_probs(self, states: np.ndarray, targets: np.ndarray, gradients: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log of each target's probability (of its shape's class outside the head); with gradients also those of the states."""
+        """Natural log of each target's probability (of its shape outside the head); with gradients also those of the states."""
         w = self.w
-        of_class = self.class_of(targets)
-        logits = states @ w["classes"] + w["class_bias"]
-        logits -= logits.max(axis=1, keepdims=True)
-        odds = np.exp(logits)
-        sums = odds.sum(axis=1)
+        of_class = self.of_class[targets]
+        order = np.argsort(of_class, kind="stable")
+        states, targets, of_class = states[order], targets[order], of_class[order]
         at = np.arange(len(targets))
-        out = logits[at, of_class] - np.log(sums)
+        odds, sums = _softmax(states @ w["classes"].T + w["class_bias"])
+        chances = odds[at, of_class] / sums
         back = None
         if gradients is not None:
             odds /= sums[:, None]
             odds[at, of_class] -= 1
-            gradients["classes"] += states.T @ odds
+            gradients["classes"] += odds.T @ states
             gradients["class_bias"] += odds.sum(axis=0)
-            back = odds @ w["classes"].T
-        order = np.argsort(of_class, kind="stable")
-        cuts = np.searchsorted(of_class[order], np.arange(self.blocks + 1))
-        for k in range(self.blocks):
-            rows = order[cuts[k] : cuts[k + 1]]
-            if not len(rows):
+            back = odds @ w["classes"]
+        cuts = np.searchsorted(of_class, np.arange(self.classes + 1))
+        edges = self.edges.tolist()
+        for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+            if a == b:
                 continue
-            s, word = states[rows], targets[rows] - k * self.in_class
-            logits = s @ w["words"][k] + w["word_bias"][k]
-            logits -= logits.max(axis=1, keepdims=True)
-            odds = np.exp(logits)
-            sums = odds.sum(axis=1)
-            mine = np.arange(len(rows))
-            out[rows] += logits[mine, word] - np.log(sums)
+            begin, end = edges[k], edges[k + 1]
+            s, word, mine = states[a:b], targets[a:b] - begin, at[: b - a]
+            odds, sums = _softmax(s @ w["words"][begin:end].T + w["word_bias"][begin:end])
+            chances[a:b] *= odds[mine, word] / sums
             if gradients is not None:
                 odds /= sums[:, None]
                 odds[mine, word] -= 1
-                gradients["words"][k] += s.T @ odds
-                gradients["word_bias"][k] += odds.sum(axis=0)
-                back[rows] += odds @ w["words"][k].T
+                gradients["words"][begin:end] += odds.T @ s
+                gradients["word_bias"][begin:end] += odds.sum(axis=0)
+                back[a:b] += odds @ w["words"][begin:end]
+        out = np.empty_like(chances)
+        out[order] = np.log(np.maximum(chances, np.finfo(chances.dtype).tiny))
+        if back is not None:
+            unsorted = np.empty_like(back)
+            unsorted[order] = back
+            back = unsorted
         return out, back
 
-    def learn(self, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, used: np.ndarray, state: np.ndarray, adam: dict) -> np.ndarray:
-        """One window of truncated backpropagation; returns the state carried on."""
-        keep: list = []
+    def gradients(self, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, used: np.ndarray, state: np.ndarray) -> tuple[float, dict, np.ndarray]:
+        """One window of truncated backpropagation: minus the summed log-probability, its gradients, and the state carried on.
+
+        Of the table only rows of inputs have a gradient: "rows" names them.
+        """
+        h, keep = STATE, {}
         states, last = self.run(inputs, fresh, state, keep)
-        steps, lanes, h = states.shape
-        gradients = {k: np.zeros_like(v) for k, v in self.w.items()}
+        steps, lanes, _ = states.shape
+        found = {k: np.zeros_like(v) for k, v in self.w.items() if k != "table"}
         mask = used.ravel()
-        flat = np.zeros((steps * lanes, h), np.float32)
-        flat[mask] = self.log_probs(states.reshape(-1, h)[mask], targets.ravel()[mask], gradients)[1]
-        down = flat.reshape(steps, lanes, h)
-        given = np.empty((steps, lanes, 3 * h), np.float32)
-        later = np.zeros((lanes, h), np.float32)
-        turn_back = self.w["turn"].T
+        down = np.zeros((steps * lanes, h), states.dtype)
+        logs, down[mask] = self.log_probs(states.reshape(-1, h)[mask], targets.ravel()[mask], found)
+        down = down.reshape(steps, lanes, h)
+        update, reset = keep["gates"][:, :, :h], keep["gates"][:, :, h:]
+        # what a state's gradient comes to at the gates and the new value, before the recurrent weights
+        factors = np.empty((steps, lanes, 3, h), states.dtype)
+        new_factor = (1 - update) * (1 - keep["new"] * keep["new"])
+        factors[:, :, 0] = (keep["before"] - keep["new"]) * update * (1 - update)
+        factors[:, :, 1] = new_factor * keep["candidate"] * reset * (1 - reset)
+        factors[:, :, 2] = new_factor * reset
+        turned = np.empty((steps, lanes, 3 * h), states.dtype)
+        later = np.zeros((lanes, h), states.dtype)
+        turn_back = np.ascontiguousarray(self.w["turn"].T)
+        begins = fresh.any(axis=1)
         for t in range(steps - 1, -1, -1):
-            before, candidate, update, reset, new = keep[t]
-            d = down[t] + later
-            d_new = d * (1 - update) * (1 - new * new)
-            d_update = d * (before - new) * update * (1 - update)
-            d_reset = d_new * candidate * reset * (1 - reset)
-            given[t] = np.hstack([d_update, d_reset, d_new])
-            turned = np.hstack([d_update, d_reset, d_new * reset])
-            gradients["turn"] += before.T @ turned
-            later = (d * update + turned @ turn_back) * (~fresh[t])[:, None]
-        flat = given.reshape(-1, 3 * h)
-        gradients["bias"] += flat.sum(axis=0)
-        np.add.at(gradients["table"], inputs.ravel(), flat)
-        scale = 1 / max(1, mask.sum())
-        norm = np.sqrt(sum(float((g * scale).ravel() @ (g * scale).ravel()) for g in gradients.values()))
-        scale *= min(1, 1 / max(norm, 1e-9))
+            d = down[t]
+            d += later
+            np.multiply(factors[t], d[:, None, :], out=turned[t].reshape(lanes, 3, h))
+            later = turned[t] @ turn_back
+            later += d * update[t]
+            if begins[t]:
+                later[fresh[t]] = 0
+        found["turn"] = keep["before"].reshape(-1, h).T @ turned.reshape(-1, 3 * h)
+        turned[:, :, 2 * h :] = down * new_factor  # at the inputs the new value isn't reset
+        flat = turned.reshape(-1, 3 * h)
+        found["bias"] = flat.sum(axis=0)
+        words = inputs.ravel()
+        order = np.argsort(words, kind="stable")
+        words = words[order]
+        starts = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
+        found["table"], found["rows"] = np.add.reduceat(flat[order], starts, axis=0), words[starts]
+        return -float(logs.sum()), found, last
+
+    def learn(self, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, used: np.ndarray, state: np.ndarray, adam: dict) -> np.ndarray:
+        """One step of Adam, on one window; returns the state carried on. Rows of the table move when their words are seen."""
+        _, found, last = self.gradients(inputs, targets, fresh, used, state)
+        rows = found.pop("rows")
+        scale = 1 / max(1, used.sum())
+        norm = scale * math.sqrt(sum(float(np.vdot(g, g)) for g in found.values()))
+        scale = np.float32(scale * min(1, 1 / max(norm, 1e-9)))
         adam["t"] += 1
-        for k, g in gradients.items():
+        rate, unbias = np.float32(adam["rate"] / (1 - 0.9 ** adam["t"])), np.float32((1 - 0.999 ** adam["t"]) ** -0.5)
+        for k, g in found.items():
             g *= scale
-            m, v = adam.setdefault(k, (np.zeros_like(g), np.zeros_like(g)))
-            m += 0.1 * (g - m)
-            v += 0.001 * (g * g - v)
-            self.w[k] -= adam["rate"] * (m / (1 - 0.9 ** adam["t"])) / (np.sqrt(v / (1 - 0.999 ** adam["t"])) + 1e-8)
+            m, v = adam.setdefault(k, (np.zeros_like(self.w[k]), np.zeros_like(self.w[k])))
+            at = rows if k == "table" else slice(None)
+            new_m, new_v = m[at] * np.float32(0.9), v[at] * np.float32(0.999)
+            new_m += np.float32(0.1) * g
+            g *= g
+            new_v += np.float32(0.001) * g
+            m[at], v[at] = new_m, new_v
+            np.sqrt(new_v, out=new_v)
+            new_v *= unbias
+            new_v += np.float32(1e-8)
+            new_m /= new_v
+            new_m *= rate
+            self.w[k][at] -= new_m
         return last
 
 
@@ -246,7 +312,7 @@ def train(texts: list[np.ndarray], head: int, first: int) -> Network:
     for epoch in range(EPOCHS if texts else 0):
         adam["rate"] = RATE * (1 - epoch / EPOCHS)
         mixed = [texts[k] for k in random.permutation(len(texts))]
-        inputs, targets, numbers, fresh = lanes_of(mixed, LANES, first)
+        inputs, targets, numbers, fresh = lanes_of(mixed, START_LANES, first)
         state = np.zeros((inputs.shape[1], STATE), np.float32)
         for at in range(0, len(inputs), WINDOW):
             window = slice(at, at + WINDOW)
@@ -256,30 +322,47 @@ def train(texts: list[np.ndarray], head: int, first: int) -> Network:
     return out
 
 
-def windows(texts: Iterator[np.ndarray], first: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """All texts through LANES lanes, each text whole in one lane: (WINDOW, LANES) of inputs, targets, text begins here, used."""
+def numbered_windows(texts: Iterator[np.ndarray], first: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """All texts through LANES lanes, each text whole in one lane.
+
+    Yields the lanes in use and, each (WINDOW, lanes), inputs, targets, whether a text begins here, and the
+    text's number (-1: none). A lane without a text left stays empty.
+    """
     texts = iter(texts)
-    held: list[tuple[np.ndarray, int] | None] = [None] * LANES
+    held: list[tuple[np.ndarray, int, int] | None] = [None] * LANES
+    n_texts = 0
     while True:
-        inputs, targets = np.zeros((WINDOW, LANES), np.int32), np.zeros((WINDOW, LANES), np.int32)
-        fresh, used = np.zeros((WINDOW, LANES), bool), np.zeros((WINDOW, LANES), bool)
+        inputs, targets = np.zeros((LANES, STRETCH), np.int32), np.zeros((LANES, STRETCH), np.int32)
+        fresh, numbers = np.zeros((LANES, STRETCH), bool), np.full((LANES, STRETCH), -1, np.int64)
         for lane in range(LANES):
-            row = 0
-            while row < WINDOW:
-                if held[lane] is None and (ids := next(texts, None)) is not None:
-                    held[lane] = (ids, 0)
-                if held[lane] is None:
-                    break
-                ids, at = held[lane]
-                n = min(WINDOW - row, len(ids) - at)
-                targets[row : row + n, lane] = ids[at : at + n]
-                inputs[row, lane], inputs[row + 1 : row + n, lane] = ids[at - 1] if at else first, ids[at : at + n - 1]
-                fresh[row, lane], used[row : row + n, lane] = not at, True
-                held[lane] = (ids, at + n) if at + n < len(ids) else None
-                row += n
-        if not used.any():
+            now, row = held[lane], 0
+            while row < STRETCH:
+                if now is None:
+                    if (ids := next(texts, None)) is None:
+                        break
+                    now, n_texts = (ids, 0, n_texts), n_texts + 1
+                ids, at, number = now
+                n = min(STRETCH - row, len(ids) - at)
+                end = row + n
+                targets[lane, row:end], numbers[lane, row:end] = ids[at : at + n], number
+                inputs[lane, row], inputs[lane, row + 1 : end] = ids[at - 1] if at else first, ids[at : at + n - 1]
+                fresh[lane, row] = not at
+                now = (ids, at + n, number) if at + n < len(ids) else None
+                row = end
+            held[lane] = now
+        if numbers.max() < 0:
             return
-        yield inputs, targets, fresh, used
+        for at in range(0, STRETCH, WINDOW):
+            cut = slice(at, at + WINDOW)
+            lanes = np.flatnonzero(numbers[:, at] >= 0)  # a lane that is empty here is empty from here on
+            if len(lanes):
+                yield lanes, *(np.ascontiguousarray(x[lanes, cut].T) for x in (inputs, targets, fresh, numbers))
+
+
+def windows(texts: Iterator[np.ndarray], first: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(inputs, targets, text begins here, used) of the windows of texts."""
+    for _, inputs, targets, fresh, numbers in numbered_windows(texts, first):
+        yield inputs, targets, fresh, numbers >= 0
 
 
 def learn_all(network: Network, texts: Iterator[np.ndarray], first: int, expected: int) -> int:
@@ -287,42 +370,56 @@ def learn_all(network: Network, texts: Iterator[np.ndarray], first: int, expecte
     adam = {"t": 0}
     state = np.zeros((LANES, STATE), np.float32)
     seen = 0
-    for inputs, targets, fresh, used in windows(texts, first):
-        lanes = np.flatnonzero(used.any(axis=0))
+    for lanes, inputs, targets, fresh, numbers in numbered_windows(texts, first):
+        used = numbers >= 0
         n = int(used.sum())
         # a window of few tokens is a noisy one
-        adam["rate"] = PASS_RATE * max(0.1, 1 - seen / max(1, expected)) * math.sqrt(n / used.size)
-        state[lanes] = network.learn(inputs[:, lanes], targets[:, lanes], fresh[:, lanes], used[:, lanes], state[lanes], adam)
+        adam["rate"] = PASS_RATE * max(0.1, 1 - seen / max(1, expected)) * math.sqrt(n / (LANES * WINDOW))
+        state[lanes] = network.learn(inputs, targets, fresh, used, state[lanes], adam)
         seen += n
     return seen
 
 
 def learned(docs: DataFrame, start: Network, sent: Broadcast, first: int, total: int) -> Network:
     """The network after a pass over all of docs, by shards that don't depend on how docs are partitioned."""
-    shards = max(1, min(MOST_SHARDS, total // SHARD_TOKENS))
+    shards = max(1, total // SHARD_TOKENS)
     begun = docs.sparkSession.sparkContext.broadcast(start)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mine = Reader(*sent.value)
         rows = ((s, t) for part in parts for s, t in zip(part["shard"], part["text"], strict=True))
+        added, seen, task = 0.0, 0, -1
         for shard, group in groupby(rows, lambda r: r[0]):
             network = copy.deepcopy(begun.value)
             n = learn_all(network, (mine.ids_of(t) for _, t in group), first, total // shards)
-            flat = np.concatenate([network.w[k].ravel() for k in sorted(network.w)])
-            for at in range(0, len(flat), CHUNK):
-                yield pd.DataFrame({"chunk": [at], "shard": [shard], "n": [n], "w": [flat[at : at + CHUNK].tobytes()]})
+            added = added + n * np.concatenate([network.w[k].ravel() for k in sorted(network.w)]).astype(float)
+            seen, task = seen + n, max(task, shard)
+        if seen:
+            for at in range(0, len(added), CHUNK):
+                yield pd.DataFrame({"chunk": [at], "task": [task], "n": [seen], "w": [(added[at : at + CHUNK] / seen).tobytes()]})
 
     def mean(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["shard", "n"])
-        out = sum(n * np.frombuffer(w, np.float32).astype(float) for n, w in zip(group["n"], group["w"], strict=True)) / group["n"].sum()
-        return pd.DataFrame({"chunk": [group["chunk"].iloc[0]], "w": [out.astype(np.float32).tobytes()]})
+        group = group.sort_values("task")
+        n = group["n"].sum()
+        out = sum(k * np.frombuffer(w, float) for k, w in zip(group["n"], group["w"], strict=True)) / n
+        return pd.DataFrame({"chunk": [group["chunk"].iloc[0]], "task": [group["task"].iloc[0]], "n": [n], "w": [out.tobytes()]})
 
+    schema = "chunk long, task long, n long, w binary"
     dealt = docs.select("text", F.xxhash64("doc_id", "text").alias("at")).withColumn("shard", F.pmod("at", F.lit(shards)))
     dealt = dealt.repartition("shard").sortWithinPartitions("shard", "at")
-    found = dealt.select("shard", "text").mapInPandas(run, "chunk long, shard long, n long, w binary").groupBy("chunk").applyInPandas(mean, "chunk long, w binary").collect()
+    made = common.table(dealt.select("shard", "text").mapInPandas(run, schema), "weights")
+    # sums of at most FAN tasks, then of as many of these; a number of shards has a few levels
+    left = shards
+    while left > 1:
+        few = made.groupBy("chunk", F.pmod(F.xxhash64("task"), F.lit(-(-left // FAN))).alias("some")).applyInPandas(mean, schema)
+        few = common.table(few, "weights")
+        common.drop(made)
+        made, left = few, -(-left // FAN)
+    found = made.collect()  # one model, in chunks
+    common.drop(made)
     out = copy.deepcopy(start)
     if found:
-        flat = np.concatenate([np.frombuffer(r["w"], np.float32) for r in sorted(found, key=lambda r: r["chunk"])])
+        flat = np.concatenate([np.frombuffer(r["w"], float) for r in sorted(found, key=lambda r: r["chunk"])]).astype(np.float32)
         at = 0
         for k in sorted(out.w):
             out.w[k] = flat[at : at + out.w[k].size].reshape(out.w[k].shape).copy()
@@ -330,46 +427,77 @@ def learned(docs: DataFrame, start: Network, sent: Broadcast, first: int, total:
     return out
 
 
+def streamed(network: Network, texts: Iterator[np.ndarray], first: int) -> Iterator[tuple[int, float]]:
+    """(number, log10 of its probability but for the words within shapes) of each whole text, as they end."""
+    state = np.zeros((LANES, STATE), np.float32)
+    open_: dict[int, float] = {}
+    for lanes, inputs, targets, fresh, numbers in numbered_windows(texts, first):
+        states, state[lanes] = network.run(inputs, fresh, state[lanes])
+        used = numbers.ravel() >= 0
+        logs, _ = network.log_probs(states.reshape(-1, STATE)[used], targets.ravel()[used])
+        mine, which = np.unique(numbers.ravel()[used], return_inverse=True)
+        for k, x in zip(mine.tolist(), np.bincount(which, logs).tolist(), strict=True):
+            open_[k] = open_.get(k, 0.0) + x
+        going = set(numbers[-1].tolist())  # the last step's texts may go on
+        for k in [k for k in open_ if k not in going]:
+            yield k, open_.pop(k) / math.log(10)
+    for k, x in open_.items():
+        yield k, x / math.log(10)
+
+
 def log10_probs(network: Network, texts: list[np.ndarray], first: int) -> np.ndarray:
     """log10 of each whole text's probability, but for the words within shapes."""
     out = np.zeros(len(texts))
-    for group in common.batches(((len(t), k) for k, t in enumerate(texts)), 400_000):
-        inputs, targets, numbers, fresh = lanes_of([texts[k] for k in group], SCORING_LANES, first)
-        state = np.zeros((inputs.shape[1], STATE), np.float32)
-        total = np.zeros(len(group))
-        for at in range(0, len(inputs), WINDOW):
-            window = slice(at, at + WINDOW)
-            lanes = int((numbers[window] >= 0).any(axis=0).sum())  # the others have ended
-            states, state = network.run(inputs[window, :lanes], fresh[window, :lanes], state[:lanes])
-            used = numbers[window, :lanes].ravel() >= 0
-            found, _ = network.log_probs(states.reshape(-1, STATE)[used], targets[window, :lanes].ravel()[used])
-            total += np.bincount(numbers[window, :lanes].ravel()[used], found, minlength=len(group))
-        out[group] = total
-    return out / np.log(10)
+    for k, x in streamed(network, iter(texts), first):
+        out[k] = x
+    return out
+
+
+class _Slots(dict):
+    """Words to places in a Reader's tables; a new word gets the next place."""
+
+    def __init__(self, reader: Reader) -> None:
+        self.reader = reader
+
+    def __missing__(self, word: bytes) -> int:
+        out = self[word] = len(self)
+        self.reader.add(out, word)
+        return out
 
 
 class Reader:
     """Turns words into ids and counts, by the bounded tables that every executor has."""
 
+    LIMIT = 200_000
+
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, head: int) -> None:
         self.known = dict(zip(hashes.tolist(), counts.tolist(), strict=True))
-        self.ids = dict(zip(hashes[:head].tolist(), range(head), strict=True))
+        self.numbers = dict(zip(hashes[:head].tolist(), range(head), strict=True))
         self.head = head
-        self.words: dict[bytes, tuple[int, int, int]] = {}
+        self.slots = _Slots(self)
+        self.hashes, self.ids, self.counts = np.zeros(4096, np.uint64), np.zeros(4096, np.int32), np.zeros(4096, np.int64)
+
+    def add(self, at: int, word: bytes) -> None:
+        if at >= len(self.ids):
+            self.hashes, self.ids, self.counts = (np.resize(x, 2 * len(x)) for x in (self.hashes, self.ids, self.counts))
+        h = common.xxhash.xxh3_64_intdigest(word)
+        number = self.numbers.get(h, -1)
+        self.hashes[at], self.ids[at], self.counts[at] = h, number if number >= 0 else self.head + shape(word), self.known.get(h, -1)
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """Where hashes, ids and counts (-1 where only the join knows it) have each word; good until the next call."""
+        if len(self.slots) > self.LIMIT:
+            self.slots.clear()
+        return np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
 
     def read(self, word: bytes) -> tuple[int, int, int]:
-        """(hash, id, count or -1 where only the join knows it) of a word."""
-        out = self.words.get(word)
-        if out is None:
-            if len(self.words) > 200_000:
-                self.words.clear()
-            h = common.xxhash.xxh3_64_intdigest(word)
-            at = self.ids.get(h, -1)
-            out = self.words[word] = (h, at if at >= 0 else self.head + shape(word), self.known.get(h, -1))
-        return out
+        """(hash, id, count or -1) of a word."""
+        at = self.places([word])[0]
+        return int(self.hashes[at]), int(self.ids[at]), int(self.counts[at])
 
     def ids_of(self, text: str | None) -> np.ndarray:
-        return np.array([self.read(w)[1] for w in tokens(text)], np.int32)
+        at = self.places(tokens(text))
+        return self.ids[at]
 
 
 def most_frequent(words: DataFrame, most: int = KNOWN) -> DataFrame:
@@ -424,23 +552,35 @@ def scored(docs: DataFrame) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mine = Reader(*sent.value)
         network, base_log, shape_log, first = model.value
-        for part in parts:
-            rows, texts = [], []
-            for text in part["text"]:
-                read = [mine.read(w) for w in tokens(text)]
-                ids = np.array([r[1] for r in read], np.int32)
-                counts = np.array([r[2] for r in read], np.int64)
-                logs = np.log10(np.maximum(counts, 0) + 1)
-                outside = ids >= head
-                rare = np.array([r[0] for r, c in zip(read, counts < 0, strict=True) if c], np.uint64)
-                rare, times = np.unique(rare.view(np.int64), return_counts=True)
-                own = (logs[outside] - shape_log[ids[outside] - head]).sum()
-                rows.append((len(ids), int((counts > 0).sum()), logs.sum() - len(ids) * base_log, own, rare, times))
-                texts.append(ids)
-            out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "base_score", "score", "rare", "times"])
-            out["score"] = out["score"].astype(float) + log10_probs(network, texts, first)
-            out.insert(0, "doc_id", part["doc_id"].astype("Int64").to_numpy())
-            yield out
+        rows: dict[int, tuple] = {}
+
+        def texts() -> Iterator[np.ndarray]:
+            n = 0
+            for part in parts:
+                # long texts first, so that few lanes are left to them at the end
+                for doc, text in sorted(zip(part["doc_id"].astype("Int64"), part["text"], strict=True), key=lambda r: -len(r[1] or "")):
+                    at = mine.places(tokens(text))
+                    ids, counts = mine.ids[at], mine.counts[at]
+                    logs = np.log10(np.maximum(counts, 0) + 1)
+                    outside = ids >= head
+                    rare, times = np.unique(mine.hashes[at[counts < 0]].view(np.int64), return_counts=True)
+                    own = (logs[outside] - shape_log[ids[outside] - head]).sum()
+                    rows[n] = (doc, len(ids), int((counts > 0).sum()), logs.sum() - len(ids) * base_log, own, rare, times)
+                    n += 1
+                    yield ids
+
+        def out(done: list[tuple]) -> pd.DataFrame:
+            made = pd.DataFrame(done, columns=["doc_id", "n_tokens", "n_known", "base_score", "score", "rare", "times"])
+            return made.astype({"doc_id": "Int64"})
+
+        done: list[tuple] = []
+        for k, score in streamed(network, texts(), first):
+            row = rows.pop(k)
+            done.append((*row[:4], row[4] + score, *row[5:]))
+            if len(done) == 500:
+                yield out(done)
+                done = []
+        yield out(done)
 
     schema = "doc_id long, n_tokens long, n_known long, base_score double, score double, rare array<long>, times array<int>"
     read = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInPandas(run, schema)

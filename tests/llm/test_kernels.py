@@ -169,6 +169,31 @@ def test_statistics_of_odd_texts():
 
 
 def test_gradients_match_differences():
+    """Each weight's gradient against the loss a little to either side, over windows with texts that begin and end inside."""
+    random_ = np.random.default_rng(4)
+    net = language_model.Network(40)
+    net.w = {k: v.astype(np.float64) + random_.normal(size=v.shape) * 0.1 for k, v in net.w.items()}
+    inputs, targets = random_.integers(0, 60, (6, 3)), random_.integers(0, 60, (6, 3))
+    fresh, used = np.zeros((6, 3), bool), np.ones((6, 3), bool)
+    fresh[0, :2] = fresh[3, 1] = True
+    used[4:, 2] = False
+    state = random_.normal(size=(3, language_model.STATE))
+    loss, found, _ = net.gradients(inputs, targets, fresh, used, state)
+    table = np.zeros_like(net.w["table"])
+    table[found.pop("rows")] = found["table"]
+    found["table"] = table
+    for k, w in net.w.items():
+        for at in random_.integers(0, w.size, 12).tolist() + [int(np.abs(found[k]).argmax())]:
+            kept, ends = w.flat[at], []
+            for step in (1e-5, -1e-5):
+                w.flat[at] = kept + step
+                ends.append(net.gradients(inputs, targets, fresh, used, state)[0])
+            w.flat[at] = kept
+            assert abs((ends[0] - ends[1]) / 2e-5 - found[k].flat[at]) < 1e-5, k
+    assert loss > 0
+
+
+def test_learning_lowers_the_loss():
     random_ = np.random.default_rng(1)
     net = language_model.Network(40)
     net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
