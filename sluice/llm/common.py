@@ -23,8 +23,6 @@ SPACE = " \t\n\x0b\x0c\r"
 MASK = (1 << 64) - 1
 
 
-#: Frees the shuffle files of a write as soon as it ends; nothing reads them again.
-_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _scopes: list[list[DataFrame]] = []
 
 
@@ -43,32 +41,74 @@ def scope() -> Iterator[None]:
         drop(*_scopes.pop())
 
 
-def table(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """df written to a new shared table and read back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sluice/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN_UP, None)
-    spark.conf.set(_CLEAN_UP, "true")
+@contextlib.contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings (dots as double underscores) for what is planned and run inside; as they were afterwards."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
     try:
-        writer = df.write.option("compression", "zstd")
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+        yield
     finally:
-        spark.conf.set(_CLEAN_UP, before) if before is not None else spark.conf.unset(_CLEAN_UP)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.sluice_path = path
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def _written(df: DataFrame, path: str, write) -> None:
+    held = {
+        # the shuffle files of a write go as soon as it ends: nothing reads them again
+        "spark__sql__classic__shuffleDependency__fileCleanup__enabled": "true",
+        # a union of bucketed tables would be taken for a partitioned one, though its scans are then read without their buckets
+        "spark__sql__unionOutputPartitioning": "false",
+        "spark__sql__legacy__bucketedTableScan__outputOrdering": "true",
+    }
+    with settings(df.sparkSession, **held):
+        write(df.write.option("compression", "zstd").option("path", path))
+
+
+def _kept(out: DataFrame, path: str, name: str | None = None) -> DataFrame:
+    out.sluice_path, out.sluice_table = path, name
     if _scopes:
         _scopes[-1].append(out)
     return out
 
 
+def table(df: DataFrame, name: str) -> DataFrame:
+    """df written to a new shared table and read back."""
+    path = f"{shared_dir(df.sparkSession)}/sluice/{name}-{uuid.uuid4().hex}"
+    _written(df, path, lambda w: w.format("parquet").save())
+    return _kept(df.sparkSession.read.schema(df.schema).parquet(path), path)
+
+
+def sorted_table(df: DataFrame, name: str, key: str) -> DataFrame:
+    """df in a new shared table whose buckets, one file each, are sorted by key: joins on it need neither exchange nor sort on its side."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    called = f"sluice_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/sluice/{called}"
+    _written(df.repartition(n, key), path, lambda w: w.format("parquet").bucketBy(n, key).sortBy(key).saveAsTable(called))
+    return _kept(spark.table(called), path, called)
+
+
 def drop(*tables: DataFrame) -> None:
-    """Deletes tables made by table() that nothing will read again."""
+    """Deletes tables made by table() and sorted_table() that nothing will read again."""
     for t in tables:
         spark = t.sparkSession
+        if t.sluice_table:
+            spark.sql(f"drop table if exists {t.sluice_table}")
         path = spark._jvm.org.apache.hadoop.fs.Path(t.sluice_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or one like it that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small_batches(spark: SparkSession) -> None:
     """Fewer rows to an Arrow batch: whole texts are long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")

@@ -44,8 +44,8 @@ SAMPLE, MOST_SAMPLE, LONGEST_SAMPLE = 800, 1600, 50_000
 EPOCHS, RATE = 3, 4e-3
 #: The pass over all training rows: tokens of a shard, and the rate to begin with.
 SHARD_TOKENS, PASS_RATE = 2_000_000, 4e-3
-#: Weights are added up in chunks of so many, of at most so many tasks at a time.
-CHUNK, FAN = 16_384, 256
+#: Most tasks of the pass; weights are added up in chunks of so many, of at most so many tasks at a time.
+MOST_TASKS, CHUNK, FAN = 50_000, 16_384, 256
 END = b""
 SHAPES = 2 * 3 * 4
 FLUSH = 200_000
@@ -406,7 +406,8 @@ def learned(docs: DataFrame, start: Network, sent: Broadcast, first: int, total:
 
     schema = "chunk long, task long, n long, w binary"
     dealt = docs.select("text", F.xxhash64("doc_id", "text").alias("at")).withColumn("shard", F.pmod("at", F.lit(shards)))
-    dealt = dealt.repartition("shard").sortWithinPartitions("shard", "at")
+    # a task of its own for most shards, however small they are; beyond MOST_TASKS a task learns several
+    dealt = dealt.repartition(min(shards, MOST_TASKS), "shard").sortWithinPartitions("shard", "at")
     made = common.table(dealt.select("shard", "text").mapInPandas(run, schema), "weights")
     # sums of at most FAN tasks, then of as many of these; a number of shards has a few levels
     left = shards

@@ -1,7 +1,7 @@
 """Operator 5, line dedup: levelled sorted runs of line keys, only DataFrame functions.
 
-Documents come in batches of falling doc_id. A run is a table of line keys, sorted by key within the
-partitions of the key's hash: the key, the keeper (the largest doc_id holding it, which the first batch
+Documents come in batches of falling doc_id. A run is a table of line keys, in buckets of the key's hash, each
+sorted by key, so that no join exchanges or sorts a run again: the key, the keeper (the largest doc_id holding it, which the first batch
 that has the key knows) and in how many documents of the run's batches it stands. A new batch is
 merge-anti-joined with the runs: its keys that no run has are new and name their keeper, the others only
 add to the count. Then it becomes a run itself. Once a level holds FAN runs, they are compacted into one
@@ -9,8 +9,8 @@ of the next level.
 
 Defined results: a null or empty text is one empty line. A null doc_id counts as one document, below all
 others. Rows that repeat a doc_id count as one document; each row keeps its own text. Ties cannot arise:
-the keeper is a doc_id, and every row with that doc_id keeps its lines. Extra columns pass through
-restore() unread; a column named like one of ours is not touched.
+the keeper is a doc_id, and every row with that doc_id keeps its lines. Extra columns, whatever their
+names, pass through restore() unread.
 """
 
 from __future__ import annotations
@@ -70,18 +70,17 @@ class Runs:
     def add(self, batch: DataFrame) -> None:
         """batch: (key, keeper, n), one row for each key."""
         if known := self.all():
-            seen = known[0].select("key")
-            for run in known[1:]:
-                seen = seen.union(run.select("key"))
-            fresh = batch.join(seen.distinct().hint("merge"), "key", "left_anti")
-            counted = batch.join(seen.distinct().hint("merge"), "key", "left_semi").withColumn("keeper", F.lit(None).cast("long"))
+            fresh = batch
+            for run in known:
+                fresh = fresh.join(run.select("key").hint("merge"), "key", "left_anti")
+            counted = batch.join(fresh.select("key").hint("merge"), "key", "left_anti").withColumn("keeper", F.lit(None).cast("long"))
             batch = fresh.union(counted)
         self._put(batch, 0)
 
     def _put(self, run: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(common.table(run.sortWithinPartitions("key"), f"run{level}"))
+        self.levels[level].append(common.sorted_table(run, f"run{level}", "key"))
         if len(self.levels[level]) >= FAN:
             full, self.levels[level] = self.levels[level], []
             self._put(self._merged(full), level + 1)
@@ -110,22 +109,22 @@ def repeated(keys: DataFrame, batches: int = BATCHES, least: int = MIN_DOCUMENTS
     return out
 
 
-def restore(docs: DataFrame) -> DataFrame:
-    """docs with a struct column _lines: n_lines, n_dropped, kept (the text of the lines that stay)."""
+def restore(docs: DataFrame, into: str = "_lines") -> DataFrame:
+    """docs with a struct column of that name: n_lines, n_dropped, kept (the text of the lines that stay)."""
     keys = common.table(keys_of(docs), "keys")
     hot = repeated(keys)
-    dropped = keys.join(hot, "key").where(F.col("doc") < F.col("keeper")).groupBy("doc", "row").agg(F.collect_set("pos").alias("_drop"))
-    lines = lines_of(docs["text"])
-    at = docs.withColumns({"_doc": F.coalesce(docs["doc_id"].cast("long"), F.lit(_LOWEST)), "_row": common.text_key(docs["text"])})
-    dropped = dropped.withColumnsRenamed({"doc": "_doc", "row": "_row"})
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drop"))
-    kept = F.when(F.col("_drop").isNull(), F.coalesce(docs["text"], F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    dropped = keys.join(hot, "key").where(F.col("doc") < F.col("keeper")).groupBy("doc", "row").agg(F.collect_set("pos").alias("drop"))
+    # a row's columns travel in one struct, so that none can clash with ours
+    rows = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(_LOWEST)).alias("doc"), common.text_key(docs["text"]).alias("row"), F.struct("*").alias("whole"))
+    lines = lines_of(F.col("whole.text"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drop"))
+    kept = F.when(F.col("drop").isNull(), F.coalesce("whole.text", F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
     one = F.struct(
         F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"),
         kept.alias("kept"),
     )
-    return at.join(dropped, ["_doc", "_row"], "left").withColumn("_lines", one).drop("_doc", "_row", "_drop")
+    return rows.join(dropped, ["doc", "row"], "left").select("whole.*", one.alias(into))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,6 +71,41 @@ def test_line_dedup(docs):
     assert found[5, "kept"]["_lines"].n_lines == 2
 
 
+@pytest.mark.parametrize("batches", [1, 4, 11])
+def test_line_runs_against_brute_force(spark, batches):
+    """With eleven batches runs are compacted twice over."""
+    import random
+
+    random.seed(batches)
+    rows = [(random.randrange(60), random.choice("abcdefghij")) for _ in range(400)]
+    where: dict = {}
+    for doc, key in rows:
+        where.setdefault(key, set()).add(doc)
+    keys = spark.createDataFrame(rows, "doc long, key string").selectExpr("doc", "unhex(md5(key)) as key")
+    names = {hashlib.md5(k.encode()).digest(): k for k in where}
+    found = {names[bytes(r["key"])]: r["keeper"] for r in lines.repeated(common.table(keys, "keys"), batches, 25).collect()}
+    assert found == {k: max(d) for k, d in where.items() if len(d) >= 25}
+
+
+def test_line_runs_join_without_exchange(spark):
+    keys = spark.range(1000).selectExpr("id as key", "id as keeper", "1L as n")
+    run = common.sorted_table(keys, "run0", "key")
+    batch = keys.groupBy("key").agg(lines.F.max("keeper").alias("keeper"))
+    with common.settings(spark, spark__sql__legacy__bucketedTableScan__outputOrdering="true"):
+        plan = batch.join(run.select("key").hint("merge"), "key", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    side = plan[plan.rindex("FileScan") - 200 :]
+    assert "SortMergeJoin" in plan and plan.count("Exchange") == 1 and "Sort [" not in side
+    common.drop(run)
+
+
+def test_line_dedup_passes_clashing_columns_through(spark):
+    rows = [(k, LINE, 7, 8, 9, 10) for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _doc long, _row long, drop long, `_lines` long")
+    found = lines.restore(docs, "x")
+    assert found.columns == [*docs.columns, "x"]
+    assert sorted((r["doc_id"], r["_doc"], r["drop"], r["x"].kept) for r in found.collect()) == [(k, 7, 9, LINE if k == 4 else "") for k in range(5)]
+
+
 def test_near_dedup(docs):
     found = neardup.linked(docs, size=2).collect()
     by_id = {}
