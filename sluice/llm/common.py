@@ -67,18 +67,18 @@ def _written(df: DataFrame, path: str, write) -> None:
         write(df.write.option("compression", "zstd").option("path", path))
 
 
-def _kept(out: DataFrame, path: str, name: str | None = None) -> DataFrame:
+def _kept(out: DataFrame, path: str, name: str | None = None, keep: bool = False) -> DataFrame:
     out.sluice_path, out.sluice_table = path, name
-    if _scopes:
+    if _scopes and not keep:
         _scopes[-1].append(out)
     return out
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """df written to a new shared table and read back."""
+def table(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """df written to a new shared table and read back; one to keep outlives the scope that it is made in."""
     path = f"{shared_dir(df.sparkSession)}/sluice/{name}-{uuid.uuid4().hex}"
     _written(df, path, lambda w: w.format("parquet").save())
-    return _kept(df.sparkSession.read.schema(df.schema).parquet(path), path)
+    return _kept(df.sparkSession.read.schema(df.schema).parquet(path), path, keep=keep)
 
 
 def sorted_table(df: DataFrame, name: str, key: str) -> DataFrame:

@@ -124,7 +124,8 @@ def restore(docs: DataFrame, into: str = "_lines") -> DataFrame:
         F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"),
         kept.alias("kept"),
     )
-    return rows.join(dropped, ["doc", "row"], "left").select("whole.*", one.alias(into))
+    found = rows.join(dropped, ["doc", "row"], "left").select("whole", one.alias("made"))
+    return found.select("whole.*", F.col("made").alias(into))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -297,3 +297,37 @@ def test_pipeline_against_brute_force(spark, tmp_path, docs):
         assert found[k]["ids_sha256"] == hashlib.sha256(" ".join(map(str, codec.encode(t))).encode()).hexdigest()
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)).columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path, empty):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    empty.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_with_repeated_ids_and_clashing_columns(spark, tmp_path):
+    """Against plain Python: nulls, repeated ids with equal and with different texts, and columns named like the stages' own."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    names = ["_id", "_row", "_doc", "_drop", "_lines", "_text_key", "whole", "row", "id", "k", "n_chars"]
+    a, b, c = words(1, 90), words(2, 90), words(3, 90)
+    texts = [(1, a), (1, a), (1, b), (2, a), (None, a), (None, None), (3, None), (4, ""), (5, c + "\n" + LINE), *((k, f"{words(k, 70)}\n{LINE}") for k in range(6, 10))]
+    rows = [(k, t, *range(len(names) - 1), len(t or "")) for k, t in texts]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *(f"`{n}` long" for n in names)]))
+    spark.createDataFrame([(1, c[:200]), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stage = dict(corpus_pipeline.STAGES)
+
+    def after(name: str) -> list:
+        found = stage[name](spark, docs, str(tmp_path))
+        assert found.columns == docs.columns
+        return sorted(map(tuple, found.collect()), key=repr)
+
+    same = lambda x: sorted(x, key=repr)
+    extra = tuple(range(len(names) - 1))
+    assert after("quality_rules") == same(r for r in rows if rules.judge(r[1])[8])
+    short = [r if r[0] not in (5, 6, 7, 8) else (r[0], r[1].split("\n")[0], *extra, len(r[1].split("\n")[0])) for r in rows]
+    assert after("line_dedup") == same(short)
+    # of 1's texts a is the group's least; b is near to nothing; 2 and one of the equal rows go
+    assert after("near_dedup") == same([*rows[1:3], *rows[4:]])
+    assert after("decontamination") == same(r for r in rows if r[0] != 5)
+    assert len(stage["byte_bpe"](spark, docs, str(tmp_path)).collect()) == len(rows)
