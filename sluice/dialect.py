@@ -93,10 +93,11 @@ _METHODS: dict[str, Callable] = {
 _TEXTS = frozenset("str upper lower strip lstrip rstrip title replace".split())
 
 
-def expression(text: str, columns: Sequence[str], values: Mapping[str, Any] | None = None, texts: Sequence[str] = ()) -> Column:
+def expression(text: str, columns: Sequence[str], values: Mapping[str, Any] | None = None, texts: Sequence[str] = (), lenient: bool = False) -> Column:
     """A Python-like expression over columns, named as they are or with other characters as underscores.
 
-    texts: the columns that hold strings, which + joins.
+    texts: the columns that hold strings, which + joins. lenient: numbers that a text doesn't hold are null,
+    where they would stop the job.
     """
     names = {safe_name(c): c for c in columns} | {c: c for c in columns}
     values = values or {}
@@ -127,6 +128,8 @@ def expression(text: str, columns: Sequence[str], values: Mapping[str, Any] | No
             case ast.Constant(value=x):
                 return x
             case ast.Name(id=x):
+                if isinstance(values.get(x), Column):
+                    return values[x]
                 if x in names:
                     return F.col("`" + names[x].replace("`", "``") + "`")
                 if x in values:
@@ -186,6 +189,10 @@ def expression(text: str, columns: Sequence[str], values: Mapping[str, Any] | No
                 return out
             case ast.IfExp(test=t, body=a, orelse=b):
                 return F.when(col(t), col(a)).otherwise(col(b))
+            case ast.Call(func=ast.Name(id="int" | "float" as f), args=[x]) if lenient:
+                return col(x).try_cast("long" if f == "int" else "double")
+            case ast.Attribute(value=x, attr=key):
+                return col(x)[key]
             case ast.Call(func=ast.Name(id=f), args=xs) if f in _MATH:
                 return _MATH[f](*[build(x) if f == "round" and k else col(x) for k, x in enumerate(xs)])
             case ast.Call(func=ast.Attribute(value=ast.Name(id="str"), attr=f), args=xs) if f in _METHODS and xs:

@@ -6,8 +6,9 @@ import itertools
 import random
 import re
 from collections.abc import Sequence
+from functools import reduce
 
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -271,7 +272,12 @@ def aggregate(ctx: Context, df: DataFrame, column: str, how: str) -> Column:
         raise ValueError("counts is planned apart")
     if how.startswith("custom."):
         call = ctx.function(how)
-        return F.pandas_udf(lambda s: call(s), _result(call))(x)
+
+        def whole(values: pd.Series) -> float:  # the hints make it an aggregate; its type is what call says
+            return call(values)
+
+        whole.__annotations__ = {"values": pd.Series, "return": float}
+        return F.pandas_udf(whole, _result(call))(x)
     if how not in _AGGREGATES:
         raise ValueError(f"{how} is no aggregate")
     return _AGGREGATES[how](x)
@@ -284,6 +290,15 @@ def _result(call) -> str:
     return {int: "long", float: "double", str: "string", bool: "boolean", "int": "long", "float": "double", "str": "string", "bool": "boolean"}.get(annotated, "double")
 
 
+def _beside(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """Two frames of one row for each key, null keys too; without keys each is one row."""
+    if not by:
+        return left.crossJoin(right)
+    right = right.withColumnsRenamed({c: f"__key{k}" for k, c in enumerate(by)})
+    same = reduce(lambda a, b: a & b, [name(c).eqNullSafe(F.col(f"__key{k}")) for k, c in enumerate(by)])
+    return left.join(right, same).drop(*[f"__key{k}" for k in range(len(by))])
+
+
 @op("select.group_by", kind="frame", expands=False)
 def group_by(ctx: Context, df: DataFrame, by=None, functions=None, auto_rename_columns: bool = True, **wanted):
     by = columns.expand(df.columns, by) if by else []
@@ -298,17 +313,19 @@ def group_by(ctx: Context, df: DataFrame, by=None, functions=None, auto_rename_c
         return df.select(*map(name, by)).distinct()
     ordered = any(how in ("first", "last", "list") for _, how, _ in jobs)
     source = with_ordinal(df) if ordered else df
-    plain = [aggregate(ctx, df, c, how).alias(a) for c, how, a in jobs if how != "counts"]
+    plain = [aggregate(ctx, df, c, how).alias(a) for c, how, a in jobs if how != "counts" and not how.startswith("custom.")]
     grouped = source.groupBy(*map(name, by))
     out = grouped.agg(*plain) if plain else source.select(*map(name, by)).distinct() if by else ctx.spark.range(1).select()
     for c, how, alias in jobs:
+        if how.startswith("custom."):  # Spark doesn't mix these with others
+            out = _beside(out, df.groupBy(*map(name, by)).agg(aggregate(ctx, df, c, how).alias(alias)), by)
         if how != "counts":
             continue
         value = F.coalesce(name(c).cast("string"), F.lit("null"))
         counted = df.groupBy(*map(name, by), value.alias("__v")).agg(F.count("*").alias("__n"))
         pairs = F.sort_array(F.collect_list(F.struct((-F.col("__n")).alias("n"), F.col("__v").alias("v"))))
         made = counted.groupBy(*map(name, by)).agg(F.map_from_entries(F.transform(pairs, lambda s: F.struct(s["v"], -s["n"]))).alias(alias))
-        out = out.join(made, by) if by else out.crossJoin(made)  # without keys each side is one row
+        out = _beside(out, made, by)
     return out.select(*map(name, by), *[name(a) for *_, a in jobs])
 
 

@@ -130,10 +130,22 @@ def similarity(ctx: Context, df: DataFrame, input, output, method: str = "cosine
 
 @op("python", expands=False)
 def python(ctx: Context, df: DataFrame, command: str, output, input=None, **values):
+    """A Python-like expression. except: what a row gets whose value can't be made, for a number that its text doesn't hold or a missing operand."""
     outputs = [output] if isinstance(output, str) else list(output)
-    values.pop("except", None)
-    found = expression(command, df.columns, {**ctx.variables, **values}, [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)])
-    return {outputs[0]: found} if len(outputs) == 1 else {o: F.get(found, F.lit(k)) for k, o in enumerate(outputs)}
+    instead = values.pop("except", None)
+    found = expression(command, df.columns, {**ctx.variables, **values}, [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)], instead is not None)
+    made = {outputs[0]: found} if len(outputs) == 1 else {o: F.get(found, F.lit(k)) for k, o in enumerate(outputs)}
+    if instead is None:
+        return made
+    others = [instead] if len(outputs) == 1 else list(instead)
+    if len(others) != len(outputs):
+        raise ValueError("except must have a value for each output")
+    out = {}
+    for (o, x), other in zip(made.items(), others, strict=True):
+        # a value of another type than the column's makes it text
+        same = type(df.select(x.alias("x")).schema["x"].dataType) is type(df.select(F.lit(other).alias("x")).schema["x"].dataType) or (isinstance(other, (int, float)) and not isinstance(df.select(x.alias("x")).schema["x"].dataType, T.StringType))
+        out[o] = F.coalesce(x, F.lit(other)) if same else F.coalesce(x.cast("string"), F.lit(str(other)))
+    return out
 
 
 # Codes of generated columns.
@@ -274,7 +286,7 @@ def date_properties(ctx: Context, df: DataFrame, input, output, property: str):
 
 def _inside_months(a: Column, b: Column, days: list[int]) -> Column:
     """How many of the given days of months lie from a to b, both included; 0 stands for a month's last."""
-    months = F.sequence(F.trunc(a, "month"), F.trunc(b, "month"), F.expr("interval 1 month"))
+    months = F.sequence(F.trunc(a, "month"), F.greatest(F.trunc(a, "month"), F.trunc(b, "month")), F.expr("interval 1 month"))
     count = F.lit(0)
 
     def inside(d: int):
@@ -295,20 +307,26 @@ def date_range(ctx: Context, df: DataFrame, start_time: str, end_time: str, outp
         micros = F.unix_micros(b.cast("timestamp")) - F.unix_micros(a.cast("timestamp"))
         return {output: F.greatest(F.floor(micros / (seconds[range] * 1e6)), F.lit(0)).cast("long")}
     days = F.sequence(day_a, F.greatest(day_a, day_b))
-    weekday = lambda d: F.weekday(d) < 5
+    weekdays = _weekdays_before(F.date_add(F.greatest(day_a, day_b), 1)) - _weekdays_before(day_a)
     counts = {
-        "business days": lambda: F.size(F.filter(days, weekday)), "months": lambda: _inside_months(day_a, day_b, [0]), "month starts": lambda: _inside_months(day_a, day_b, [1]),
+        "business days": lambda: weekdays, "months": lambda: _inside_months(day_a, day_b, [0]), "month starts": lambda: _inside_months(day_a, day_b, [1]),
         "semi months": lambda: _inside_months(day_a, day_b, [15, 0]), "semi month starts": lambda: _inside_months(day_a, day_b, [1, 15]),
         "business month ends": lambda: F.size(F.filter(days, lambda d: d == _last_business(d))), "business month starts": lambda: F.size(F.filter(days, lambda d: d == _first_business(d))),
         "quarters": lambda: F.size(F.filter(days, lambda d: (d == F.last_day(d)) & (F.month(d) % 3 == 0))), "quarter starts": lambda: F.size(F.filter(days, lambda d: d == F.trunc(d, "quarter"))),
         "years": lambda: F.size(F.filter(days, lambda d: (F.month(d) == 12) & (F.dayofmonth(d) == 31))),
-        "business hours": lambda: F.aggregate(F.filter(days, weekday), F.lit(0), lambda s, d: s + 8),
+        "business hours": lambda: weekdays * 8,
     }
     if range not in counts:
         raise ValueError(f"range must be one of {', '.join([*seconds, *counts])}")
     return {output: F.greatest(counts[range]() - 1, F.lit(0)).cast("long")}
 
 
+def _weekdays_before(d: Column) -> Column:
+    """Mondays to Fridays from a fixed Monday up to a date, without it."""
+    n = F.datediff(d, F.lit("1970-01-05").cast("date"))
+    return F.floor(n / 7) * 5 + F.least(F.pmod(n, F.lit(7)), F.lit(5))
+
+
 def _last_business(d: Column) -> Column:
     last = F.last_day(d)
     return F.date_sub(last, F.greatest(F.weekday(last) - 4, F.lit(0)))

@@ -354,7 +354,7 @@ def create_hash(ctx: Context, df: DataFrame, input, output, method: str = "md5")
 
 @op("create.jinja")
 def jinja(ctx: Context, df: DataFrame, input=None, output=None, template=None):
-    """Templates of plain {{ name }} places become one concatenation."""
+    """Templates become one expression: places with filters, {% if %} and {% for %}; those in a column have plain {{ name }} places."""
     template = {"string": template} if isinstance(template, str) else template
     if len(template) != 1:
         raise ValueError("template takes one of file, column and string")
@@ -370,8 +370,7 @@ def jinja(ctx: Context, df: DataFrame, input=None, output=None, template=None):
     if form == "file":
         with open(value, encoding="utf-8") as f:
             value = f.read()
-    if re.search(r"\{%", value):
-        raise ValueError("Templates may hold {{ name }} and expressions of columns, but no statements")
-    parts = re.split(r"\{\{(.*?)\}\}", value)
-    built = [F.coalesce(expression(p, list(columns)).cast("string"), F.lit("")) if k % 2 else F.lit(p) for k, p in enumerate(parts)]
-    return {output[0]: F.concat(*built)}
+    from sluice.jinja import rendered
+
+    texts = [c for c in columns if isinstance(kind(df, columns[c]), T.StringType)]
+    return {output[0]: rendered(value, list(columns.values()), texts)}

@@ -173,7 +173,7 @@ query("tokenize_explode", "part", [step("split.tokenize", input="p_name", output
 query("extract_regex", "customer", [step("extract.regex", input="c_name", output="v", find="[1-9]+", output_format="concatenate", char="-")], "select c_custkey, array_to_string(regexp_extract_all(c_name, '[1-9]+'), '-') v from customer", ["c_custkey", "v"])
 query("extract_brackets", "part", [step("create.jinja", output="t", template={"string": "a ({{ p_brand }}) [{{ p_size }}]"}), step("extract.brackets", input="t", output="v")], "select p_partkey, p_brand || ', ' || p_size v from part", ["p_partkey", "v"])
 query("remove_duplicate_words", "part", [step("merge.concatenate", input=["p_name", "p_name"], output="t", char=" "), step("format.remove_duplicates", input="t", output="v")], "select p_partkey, case when string_split(p_name, ' ')[1] = string_split(p_name, ' ')[2] then string_split(p_name, ' ')[1] else p_name end v from part", ["p_partkey", "v"])
-query("compare_words", "part", [step("compare.text", input=["p_name", "p_type"], output="v", method="difference")], None, ["p_partkey", "v"])
+query("compare_words", "part", [step("compare.text", input=["p_name", "p_type"], output="v", method="difference")], "select p_partkey, array_to_string(list_filter(string_split(p_type, ' '), lambda w: not list_contains(string_split(p_name, ' '), w)), ' ') v from part", ["p_partkey", "v"])
 query("compare_overlap", "part", [step("compare.text", input=["p_name", "p_type"], output=["v", "ratio"], method="overlap", include_ratio=True)], None, ["p_partkey", "v", "ratio"])
 query("where_rowwise", "customer", [step("convert.case", input="c_mktsegment", case="lower", where="c_acctbal < 0")], "select c_custkey, case when c_acctbal < 0 then lower(c_mktsegment) else c_mktsegment end c_mktsegment from customer", ["c_custkey", "c_mktsegment"])
 
@@ -194,7 +194,7 @@ query("date_add_months", "orders", [step("date_calculator", input="o_orderdate",
 query("date_subtract_days", "orders", [step("date_calculator", input="o_orderdate", output="d", operation="subtract", time_unit="days", time_value=45), step("format.dates", input="d", output="v", format="%d/%m/%y")], "select o_orderkey, strftime(o_orderdate - interval 45 day, '%d/%m/%y') v from orders", ["o_orderkey", "v"])
 query("date_properties", "orders", [step("extract.date_properties", input="o_orderdate", output=p, property=p) for p in ("day", "day_of_year", "month", "month_name", "weekday", "week_day_name", "week_year", "quarter")], "select o_orderkey, cast(day(o_orderdate) as int) as day, cast(dayofyear(o_orderdate) as int) day_of_year, cast(month(o_orderdate) as int) as month, monthname(o_orderdate) month_name, cast(isodow(o_orderdate) - 1 as int) weekday, dayname(o_orderdate) week_day_name, cast(weekofyear(o_orderdate) as int) week_year, cast(quarter(o_orderdate) as int) as quarter from orders", ["o_orderkey", "day", "day_of_year", "month", "month_name", "weekday", "week_day_name", "week_year", "quarter"])
 query("date_range_days", "orders", [step("create.column", output="e", value="2000-01-01"), step("extract.date_range", start_time="o_orderdate", end_time="e", output="v", range="days")], "select o_orderkey, greatest(date_diff('day', cast(o_orderdate as date), date '2000-01-01'), 0) v from orders", ["o_orderkey", "v"])
-query("date_range_business_days", "orders", [step("create.column", output="e", value="2000-01-01"), step("extract.date_range", start_time="o_orderdate", end_time="e", output="v", range="business days")], None, ["o_orderkey", "v"])
+query("date_range_business_days", "orders", [step("create.column", output="e", value="2000-01-01"), step("extract.date_range", start_time="o_orderdate", end_time="e", output="v", range="business days")], "select o_orderkey, (select greatest(count(*) filter (where isodow(d) < 6) - 1, 0) from (select unnest(generate_series(cast(o_orderdate as date), greatest(cast(o_orderdate as date), date '2000-01-01'), interval 1 day)) as d)) v from orders", ["o_orderkey", "v"])
 
 # lists, mappings, JSON
 query("json_props", "events", [step("convert.from_json", input="props", output="j", schema="map<string,long>"), step("select.dictionary_element", input="j", output="v", element="k", default=None)], "select event_id, cast(json_extract_string(props, '$.k') as bigint) v from events", ["event_id", "v"])
@@ -208,7 +208,7 @@ query("coalesce", "part", [step("create.column", output="e", value=""), step("me
 query("key_value_pairs", "part", [step("merge.key_value_pairs", input={"p_brand": "p_type"}, output="m"), step("convert.to_json", input="m", output="v")], """select p_partkey, '{"' || p_brand || '":"' || p_type || '"}' v from part""", ["p_partkey", "v"])
 query("accordion", "part", [step("split.text", input="p_name", output="w", char=" "), step("accordion", input="w", output="u", wrangles=[step("convert.case", input="w", output="u", case="upper")]), step("merge.concatenate", input="u", output="v", char="|")], "select p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w)), '|') v from part", ["p_partkey", "v"])
 query("accordion_after_sort", "lineitem", [step("merge.concatenate", input=["l_orderkey", "l_linenumber"], output="t", char=" "), step("split.text", input="t", output="w", char=" "), step("sort", by="l_extendedprice"), step("accordion", input="w", output="u", wrangles=[step("format.prefix", input="w", output="u", value="x")]), step("merge.concatenate", input="u", output="v", char="|")], "select l_orderkey, l_linenumber, 'x' || l_orderkey || '|x' || l_linenumber v from lineitem", ["l_orderkey", "l_linenumber", "v"])
-query("transpose", "region", [step("transpose", header_column="r_name")], None)
+query("transpose", "region", [step("transpose", header_column="r_name")], "select 'r_regionkey' r_name, " + ", ".join(f"max(r_regionkey) filter (where r_name = '{r}') \"{r}\"" for r in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")) + " from region")
 
 # vectors
 for _key, _sql in (("cosine", "list_cosine_similarity(a.embedding, b.embedding)"), ("euclidean", "list_distance(a.embedding, b.embedding)")):

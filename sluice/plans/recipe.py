@@ -24,7 +24,7 @@ import sluice.operators.text
 import sluice.sources.services  # noqa: F401
 from sluice import columns, dialect, template
 from sluice.order import name
-from sluice.registry import OPERATORS, Context, Operator
+from sluice.registry import OPERATORS, Context, Operator, injected
 from sluice.session import prepared
 from sluice.sources import readers, writers
 
@@ -127,6 +127,7 @@ def custom(ctx: Context, df: DataFrame, call: Callable, params: dict[str, Any])
     from sluice.operators.frame import _result
 
     taken = inspect.signature(call).parameters
+    params = injected(ctx, call, params)
     if "df" in taken:
         return call(df=df, **{k: v for k, v in params.items() if k in taken or any(p.kind is p.VAR_KEYWORD for p in taken.values())})
     where = params.pop("where", None)

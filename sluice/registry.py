@@ -35,6 +35,16 @@ class Context:
         return found
 
 
+def injected(ctx: Context, call: Callable, params: dict[str, Any], **more: Any) -> dict[str, Any]:
+    """params, and what a user's function asks for by name: the run's variables and functions, and an action's error."""
+    try:
+        taken = inspect.signature(call).parameters
+    except (TypeError, ValueError):
+        return params
+    known = {"variables": {k: v for k, v in ctx.variables.items() if not k.startswith("__")}, "functions": ctx.functions, **more}
+    return {**{k: v for k, v in known.items() if k in taken}, **params}
+
+
 @dataclass
 class Operator:
     name: str

@@ -21,7 +21,7 @@ from sluice.columns import expand
 from sluice.operators.control import permutations
 from sluice.operators.numbers import generated
 from sluice.order import name, with_position
-from sluice.registry import Context
+from sluice.registry import Context, injected
 
 #: Frames and variables that runs of this process keep for one another.
 MEMORY: dict[str, Any] = {"dataframes": {}, "variables": {}, "queue": []}
@@ -188,9 +188,9 @@ def one(ctx: Context, step: dict | str) -> DataFrame:
     elif key == "concatenate":
         df = concatenate(ctx, **params)
     elif key.startswith("custom."):
-        df = ctx.function(key)(**params)
+        df = ctx.function(key)(**injected(ctx, ctx.function(key), params))
     elif key in ctx.functions:
-        df = ctx.functions[key](**params)
+        df = ctx.functions[key](**injected(ctx, ctx.functions[key], params))
     elif key in READERS:
         df = READERS[key](ctx, **params)
     else:

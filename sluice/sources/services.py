@@ -13,6 +13,7 @@ from pathlib import Path
 from urllib import parse, request
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sluice.dialect import sql
 from sluice.registry import Context
@@ -172,16 +173,15 @@ def run_ssh(ctx: Context, host: str, user: str, command: str | list, password: s
 
 @action("jinja")
 def run_jinja(ctx: Context, template: str | dict, context: dict, output_file: str) -> None:
-    """Plain {{ name }} places; a path with dots goes into nested values."""
-    text = Path(template["file"]).read_text(encoding="utf-8") if isinstance(template, dict) and "file" in template else template["string"] if isinstance(template, dict) else template
-
-    def value(m: re.Match) -> str:
-        found = context
-        for part in m[1].split("."):
-            found = found[part]
-        return str(found)
+    """The template of create.jinja over the context's values, written to a file."""
+    from sluice.jinja import rendered
 
-    Path(output_file).write_text(re.sub(r"\{\{\s*([\w.]+)\s*\}\}", value, text), encoding="utf-8")
+    text = Path(template["file"]).read_text(encoding="utf-8") if isinstance(template, dict) and "file" in template else template["string"] if isinstance(template, dict) else template
+    given = json.dumps(context, default=str)
+    spark = ctx.spark
+    row = spark.range(1).select(F.from_json(F.lit(given), spark.range(1).select(F.schema_of_json(given)).first()[0]).alias("c")).select("c.*")
+    made = row.select(rendered(text, row.columns, [f.name for f in row.schema.fields if f.dataType.simpleString() == "string"])).first()[0]
+    Path(output_file).write_text(made, encoding="utf-8")
 
 
 def _pairs(a: str | list, b: str | list | None) -> list[tuple[str, str]]:

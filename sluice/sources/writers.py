@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 
 from sluice import template
 from sluice.operators.control import permutations
-from sluice.registry import Context
+from sluice.registry import Context, injected
 from sluice.sources.readers import MEMORY, fetched, filtered, kind_of, union
 
 WRITERS: dict[str, Any] = {}
@@ -179,14 +179,35 @@ def http(ctx: Context, df: DataFrame, url: str, method: str = "POST", headers=No
 
 
 @writer("s3")
-def s3(ctx: Context, df: DataFrame, bucket: str, key: str, **options) -> None:
-    file(ctx, df, f"s3a://{bucket}/{key}", single=False, **options)
+def s3(ctx: Context, df: DataFrame, bucket: str, file_key: str | None = None, key: str | None = None, access_key: str | None = None, secret_access_key: str | None = None, **options) -> None:
+    """All tasks write below s3a://bucket/file_key; keys given here hold for this bucket alone."""
+    at = file_key or key
+    if not at:
+        raise ValueError("write s3 needs file_key")
+    if access_key:
+        settings = ctx.spark.sparkContext._jsc.hadoopConfiguration()
+        settings.set(f"fs.s3a.bucket.{bucket}.access.key", access_key)
+        settings.set(f"fs.s3a.bucket.{bucket}.secret.key", secret_access_key or "")
+    file(ctx, df, f"s3a://{bucket}/{at}", single=False, **options)
 
 
 @writer("mongodb")
-def mongodb(ctx: Context, df: DataFrame, user: str, password: str, database: str, collection: str, host: str, action: str = "INSERT", **_) -> None:
-    settings = {"connection.uri": f"mongodb+srv://{user}:{password}@{host}/", "database": database, "collection": collection}
-    df.write.format("mongodb").options(**settings).mode("append" if action.upper() == "INSERT" else "overwrite").save()
+def mongodb(ctx: Context, df: DataFrame, user: str, password: str, database: str, collection: str, host: str, action: str = "INSERT", query: dict | None = None, update: dict | None = None, **_) -> None:
+    """INSERT adds df's rows, written by all tasks; UPDATE has the server change the documents that query finds."""
+    from urllib.parse import quote_plus
+
+    at = f"mongodb+srv://{quote_plus(user)}:{quote_plus(password)}@{host}/?retryWrites=true&w=majority"
+    if action.upper() == "INSERT":
+        df.write.format("mongodb").options(**{"connection.uri": at, "database": database, "collection": collection}).mode("append").save()
+    elif action.upper() == "UPDATE":
+        if query is None or update is None:
+            raise ValueError("UPDATE needs query and update")
+        import pymongo
+
+        with pymongo.MongoClient(at) as client:
+            client[database][collection].update_many(query, update)
+    else:
+        raise ValueError(f"write mongodb cannot {action}: INSERT and UPDATE are known")
 
 
 def _train(purpose: str):
@@ -221,7 +242,7 @@ def write_one(ctx: Context, df: DataFrame, step: dict | str) -> None:
             if not template.condition(condition, {**ctx.variables, **facts}):
                 continue
         if key.startswith("custom."):
-            ctx.function(key)(shown, **params)
+            ctx.function(key)(shown, **injected(ctx, ctx.function(key), params))
         elif key in ctx.functions:
             ctx.functions[key](shown, **params)
         elif key in WRITERS:
@@ -333,9 +354,9 @@ def act(ctx: Context, steps: list | dict, **more: Any) -> None:
             if condition is not None and not template.condition(condition, {**ctx.variables, **more}):
                 continue
             if key.startswith("custom."):
-                ctx.function(key)(**params)
+                ctx.function(key)(**injected(ctx, ctx.function(key), params, **more))
             elif key in ctx.functions:
-                ctx.functions[key](**params)
+                ctx.functions[key](**injected(ctx, ctx.functions[key], params, **more))
             elif key in ACTIONS:
                 ACTIONS[key](ctx, **params)
             else:

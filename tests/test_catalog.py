@@ -6,7 +6,7 @@ import math
 
 import pytest
 
-from sluice.plans import catalog
+from sluice.plans import catalog, catalog_more  # noqa: F401  registers more queries
 
 duckdb = pytest.importorskip("duckdb")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
