@@ -102,13 +102,13 @@ def compare(spans: list[bytes], counts: list[int], window: int) -> list[list[int
     return out
 
 
-def _slicer(text: str | None):
-    words = (text or "").encode("utf-8", "surrogatepass").split()
+def _slicer(text: str | bytes | None):
+    words = (text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")).split()
     return lambda at, n: b" ".join(words[at : at + n])
 
 
 def repeats(docs: DataFrame, words: int = WORDS, anchor: int = ANCHOR, most_blocks: int = anchors.MOST_BLOCKS) -> DataFrame:
-    """(doc_id, row, ranges) of the words that recurring passages of that many words cover."""
+    """(doc_id, row, ats, ranges, digests) of the words that recurring passages of that many words cover."""
     return anchors.repeated(docs, words, anchor, word_hashes, _slicer, compare, word_hashes, BATCH_BYTES, most_blocks)
 
 
@@ -118,9 +118,9 @@ def removed(docs: DataFrame, **options) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
-            for text, ranges in zip(part["text"], part["ranges"], strict=True):
+            for text, *blocks in zip(part["text"], part["ats"], part["ranges"], part["digests"], strict=True):
                 words = (text or "").encode("utf-8", "surrogatepass").split()
-                runs = anchors.covered(ranges, len(words))
+                runs = anchors.confirmed(lambda at, n, words=words: b" ".join(words[at : at + n]), *blocks, len(words))
                 edges = [0, *(x for r in runs for x in r), len(words)]
                 kept = [w for a, b in zip(edges[::2], edges[1::2], strict=True) for w in words[a:b]]
                 rows.append((len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "surrogatepass")))

@@ -129,13 +129,13 @@ def compare(spans: list[bytes], counts: list[int], window: int) -> list[list[int
     return [[0, len(s)] if m > 1 else x for s, m, x in zip(spans, counts, found, strict=True)]
 
 
-def _slicer(text: str | None):
-    data = (text or "").encode("utf-8", "surrogatepass")
+def _slicer(text: str | bytes | None):
+    data = text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
     return lambda at, n: data[at : at + n]
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, most_blocks: int = anchors.MOST_BLOCKS) -> DataFrame:
-    """(doc_id, row, ranges) of the bytes that repeats of that length cover."""
+    """(doc_id, row, ats, ranges, digests) of the bytes that repeats of that length cover."""
     return anchors.repeated(docs, length, anchor, byte_hashes, _slicer, compare, byte_hashes, BATCH_BYTES, most_blocks)
 
 
@@ -145,9 +145,9 @@ def removed(docs: DataFrame, **options) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
-            for text, ranges in zip(part["text"], part["ranges"], strict=True):
+            for text, *blocks in zip(part["text"], part["ats"], part["ranges"], part["digests"], strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
-                runs = anchors.covered(ranges, len(data))
+                runs = anchors.confirmed(_slicer(data), *blocks, len(data))
                 edges = [0, *(x for r in runs for x in r), len(data)]
                 rows.append((len(data), sum(b - a for a, b in runs), len(runs), b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))))
             out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept"])

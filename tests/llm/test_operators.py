@@ -331,3 +331,38 @@ def test_stages_with_repeated_ids_and_clashing_columns(spark, tmp_path):
     assert after("near_dedup") == same([*rows[1:3], *rows[4:]])
     assert after("decontamination") == same(r for r in rows if r[0] != 5)
     assert len(stage["byte_bpe"](spark, docs, str(tmp_path)).collect()) == len(rows)
+
+
+def test_nothing_is_removed_by_hashes_alone(spark, docs):
+    """Where the operator's comparison finds nothing, no count of equal hashes makes a verdict."""
+    from sluice.llm import anchors
+
+    blind = lambda spans, counts, window: [[] for _ in spans]
+    for most in (2000, 1):
+        assert not anchors.repeated(docs, 40, 12, suffixes.byte_hashes, suffixes._slicer, blind, suffixes.byte_hashes, 1 << 19, most).collect()
+        assert not anchors.repeated(docs, 12, 4, phrases.word_hashes, phrases._slicer, blind, phrases.word_hashes, 1 << 20, most).collect()
+
+
+def test_further_copies_are_told_by_their_symbols():
+    from sluice.llm import anchors
+
+    data = b"abcdefgh" * 4
+    part_of = suffixes._slicer(data)
+    right, wrong = anchors.digest(data[8:16]), anchors.digest(b"another!")
+    assert anchors.confirmed(part_of, [8, 20], [[0, 8], [0, 8]], [right, wrong], 32) == [(8, 16)]
+    assert anchors.confirmed(part_of, None, None, None, 32) == []
+
+
+def test_repeats_across_chunk_borders(spark, monkeypatch):
+    """A passage that stands twice in one long text, over the border where its blocks are cut."""
+    import random
+
+    random.seed(3)
+    noise = lambda n: "".join(random.choice("abcdefghij klmnop") for _ in range(n))
+    passage = noise(700)
+    border = 1 << 20
+    text = noise(border - 350) + passage + noise(5000) + passage + noise(100)
+    docs = spark.createDataFrame([(1, text), (2, "a"), (3, None)], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in suffixes.removed(docs).collect()}
+    assert found[1]["n_bytes"] == len(text) and 1400 <= found[1]["n_removed"] <= 1406 and found[1]["n_spans"] == 2
+    assert found[2]["n_removed"] == found[3]["n_removed"] == 0
