@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import anchors, common
 
-LENGTH, ANCHOR, BATCH_BYTES = 200, 48, 1 << 19
+LENGTH, ANCHOR, BATCH_BYTES = 200, 48, 1 << 17
 
 _SYMBOLS = np.random.default_rng(1009).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -31,64 +31,116 @@ def byte_hashes():
     return lambda text: _SYMBOLS[np.frombuffer(text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass"), np.uint8)]
 
 
+def _packed(symbols: np.ndarray) -> tuple[int, np.ndarray]:
+    """Keys that order suffixes by their first symbols, as many as fit in 62 bits, and that number."""
+    bits = max(1, int(symbols.max()).bit_length() + 1)
+    fit, out = 1, symbols.astype(np.int64) + 1
+    while 2 * fit * bits <= 62:
+        after = np.zeros_like(out)  # beyond the end stands 0
+        after[:-fit] = out[fit:]
+        out = out << np.int64(fit * bits) | after
+        fit *= 2
+    return fit, out
+
+
 def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Suffixes in order, and for each doubled length the ranks by their first so many symbols."""
+    """Suffixes in order, and for each doubled length the ranks by their first so many symbols; what lies beyond the end ranks -1."""
     n = len(symbols)
-    key = symbols.astype(np.int64)
-    order = np.argsort(key, kind="stable")
-    rank = np.empty(n, np.int64)
-    first = np.concatenate([[True], key[order][1:] != key[order][:-1]])
-    rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))  # a rank is the place of its first suffix
-    levels, length = [(1, rank)], 1
-    tied = order[~(first & np.append(first[1:], True))]
+    length, key = _packed(symbols) if n > 1 else (1, symbols.astype(np.int64))
+    order = np.argsort(key)
+    rank = np.full(n + 1, -1, np.int32)
+    key = key[order]
+    places = np.arange(n, dtype=np.int32)
+    new = np.ones(n + 1, bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:n])
+    rank[order] = np.maximum.accumulate(np.where(new[:n], places, 0))  # a rank is the place of its first suffix
+    levels = [(length, rank)]
+    tied = order[~(new[:-1] & new[1:])]
     while len(tied):
-        after = np.where(tied + length < n, rank[np.minimum(tied + length, n - 1)], -1)
-        key = rank[tied] * (n + 1) + after + 1
-        by = np.argsort(key, kind="stable")
+        key = rank[tied] * np.int64(n + 1) + rank[np.minimum(tied + length, n)]
+        by = np.argsort(key)
         tied, key = tied[by], key[by]
         group = rank[tied]
-        places = np.arange(len(tied))
-        new_group = np.concatenate([[True], group[1:] != group[:-1]])
-        new_key = np.concatenate([[True], key[1:] != key[:-1]])
-        start = np.maximum.accumulate(np.where(new_group, places, 0))
+        # a group begins at its rank, and its suffixes stand together: a new key's rank is its place within the group from there
+        begins = np.ones(len(tied), bool)
+        np.not_equal(group[1:], group[:-1], out=begins[1:])
+        new = np.ones(len(tied) + 1, bool)
+        np.not_equal(key[1:], key[:-1], out=new[1:-1])
+        at = places[: len(tied)]
+        shift = (group - at)[begins][np.cumsum(begins) - 1]
         rank = rank.copy()
-        rank[tied] = group + np.maximum.accumulate(np.where(new_key, places, 0)) - start
+        rank[tied] = np.maximum.accumulate(np.where(new[:-1], at, 0)) + shift
         length *= 2
         levels.append((length, rank))
-        tied = tied[~(new_key & np.append(new_key[1:], True))]
-    return np.argsort(rank, kind="stable"), levels
+        tied = tied[~(new[:-1] & new[1:])]
+    order = np.empty(n, np.int64)
+    order[rank[:n]] = np.arange(n)
+    return order, levels
 
 
-def shared_prefixes(order: np.ndarray, levels: list[tuple[int, np.ndarray]]) -> np.ndarray:
-    """How many symbols each suffix shares with the one before it in order."""
-    n = len(order)
-    a, b = order[:-1].copy(), order[1:].copy()
-    shared = np.zeros(n - 1, np.int64)
+def shared_prefixes(a: np.ndarray, b: np.ndarray, levels: list[tuple[int, np.ndarray]], symbols: np.ndarray) -> np.ndarray:
+    """How many symbols each suffix of a shares with that of b."""
+    n = len(symbols)
+    x, y = a.copy(), b.copy()
     for length, rank in reversed(levels):
-        inside = (a < n) & (b < n)
-        equal = inside & (rank[np.minimum(a, n - 1)] == rank[np.minimum(b, n - 1)])
-        step = np.where(equal, length, 0)
-        a, b, shared = a + step, b + step, shared + step
-    return np.concatenate([[0], shared])
+        equal = np.flatnonzero((x < n) & (y < n))
+        equal = equal[rank[x[equal]] == rank[y[equal]]]
+        x[equal] += length
+        y[equal] += length
+    for _ in range(levels[0][0] - 1):  # fewer than the packed symbols are left
+        equal = np.flatnonzero((x < n) & (y < n))
+        equal = equal[symbols[x[equal]] == symbols[y[equal]]]
+        x[equal] += 1
+        y[equal] += 1
+    return x - a
+
+
+def _share(order: np.ndarray, levels: list[tuple[int, np.ndarray]], symbols: np.ndarray, least: int) -> np.ndarray:
+    """Whether each suffix shares at least so many symbols with the one before it in order."""
+    out = np.zeros(len(order), bool)
+    if levels[0][0] > least:
+        out[1:] = shared_prefixes(order[:-1], order[1:], levels, symbols) >= least
+        return out
+    length, rank = next((m, r) for m, r in reversed(levels) if m <= least)
+    first = rank[order]
+    some = np.flatnonzero(first[1:] == first[:-1])
+    # the rest of the wanted length, by ranks that overlap the first
+    a, b = order[some] + (least - length), order[some + 1] + (least - length)
+    inside = (a < len(symbols)) & (b < len(symbols))
+    some = some[inside]
+    out[some[rank[a[inside]] == rank[b[inside]]] + 1] = True
+    return out
 
 
 def maximal_repeats(symbols: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(length, places) of each maximal repeat of at least that length, with all its places."""
+    """(length, places) of each maximal repeat of at least that length, with all its places.
+
+    The intervals of suffixes that share a prefix of at least that length are scanned with a stack. Those
+    whose suffixes all follow the same symbol hold no maximal repeat, nor does anything below them.
+    """
     if len(symbols) < 2:
         return
     order, levels = suffix_array(symbols)
-    shared = shared_prefixes(order, levels)
-    left = np.where(order > 0, symbols[order - 1], -1).tolist()
-    long = shared >= least
+    long = _share(order, levels, symbols, least)
     if not long.any():
         return
+    left = np.where(order > 0, symbols[order - 1], -1)
     edges = np.flatnonzero(np.diff(np.concatenate([[False], long, [False]]).astype(np.int8))).reshape(-1, 2)
-    shared = shared.tolist()
-    for begin, end in edges.tolist():  # suffixes begin - 1 to end - 1 share at least the least length
+    # suffixes begin - 1 to end - 1 share at least the least length
+    cuts = np.column_stack([edges[:, 0] - 1, edges[:, 1]]).ravel()
+    cuts = cuts[:-1] if cuts[-1] >= len(left) else cuts
+    lowest, highest = np.minimum.reduceat(left, cuts)[::2], np.maximum.reduceat(left, cuts)[::2]
+    edges = edges[(lowest != highest) | (lowest == -1)]
+    pairs = np.concatenate([np.arange(a, b) for a, b in edges.tolist()] or [np.zeros(0, np.int64)])
+    shared = np.zeros(len(order), np.int64)
+    shared[pairs] = shared_prefixes(order[pairs - 1], order[pairs], levels, symbols)
+    for begin, end in edges.tolist():
+        if end - begin == 1:
+            yield int(shared[begin]), order[begin - 1 : end]
+            continue
         open_: list[list[int]] = []  # [shared length, first suffix, symbol before; -2 once they differ]
-        for i in range(begin, end + 1):
-            now = shared[i] if i < end else 0
-            first, before = i - 1, left[i - 1]
+        for i, now, before in zip(range(begin, end + 1), [*shared[begin:end].tolist(), 0], left[begin - 1 : end].tolist(), strict=True):
+            first = i - 1
             if before == -1:
                 before = -2
             while open_ and open_[-1][0] > now:
