@@ -407,7 +407,7 @@ def learned(docs: DataFrame, start: Network, sent: Broadcast, first: int, total:
     schema = "chunk long, task long, n long, w binary"
     dealt = docs.select("text", F.xxhash64("doc_id", "text").alias("at")).withColumn("shard", F.pmod("at", F.lit(shards)))
     # a task of its own for most shards, however small they are; beyond MOST_TASKS a task learns several
-    dealt = dealt.repartition(min(shards, MOST_TASKS), "shard").sortWithinPartitions("shard", "at")
+    dealt = dealt.repartition(min(4 * shards, MOST_TASKS), "shard").sortWithinPartitions("shard", "at")
     made = common.table(dealt.select("shard", "text").mapInPandas(run, schema), "weights")
     # sums of at most FAN tasks, then of as many of these; a number of shards has a few levels
     left = shards
