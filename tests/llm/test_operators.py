@@ -366,3 +366,17 @@ def test_repeats_across_chunk_borders(spark, monkeypatch):
     found = {r["doc_id"]: r for r in suffixes.removed(docs).collect()}
     assert found[1]["n_bytes"] == len(text) and 1400 <= found[1]["n_removed"] <= 1406 and found[1]["n_spans"] == 2
     assert found[2]["n_removed"] == found[3]["n_removed"] == 0
+
+
+def test_held_out_texts_are_likelier_by_the_network_than_by_counts(spark):
+    found = language_model.op2_lm_scoring(spark, "/root/testdata/sf0.01").where("held_out").agg({"score": "sum", "base_score": "sum", "n_tokens": "sum"}).first()
+    assert found["sum(score)"] > found["sum(base_score)"] + 0.2 * found["sum(n_tokens)"]
+
+
+def test_held_out_quality_is_told(spark):
+    """The share of pairs of held-out documents, of either label, that the scores order rightly."""
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    rows = [(r["score"], labels[r["doc_id"]]) for r in classifier.op1_quality_classifier(spark, "/root/testdata/sf0.01").where("held_out").collect() if labels.get(r["doc_id"]) is not None]
+    good, bad = [s for s, q in rows if q == 1], [s for s, q in rows if q == 0]
+    assert len(good) > 10 and len(bad) > 10
+    assert sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad)) > 0.95
