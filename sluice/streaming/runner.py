@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice import order
 from sluice.plans import recipe
 from sluice.registry import OPERATORS, Context
 
@@ -48,8 +50,20 @@ def run_batches(df: DataFrame, given: Any, checkpoint: str, variables: dict | No
 
 
 def drain(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """What a finite stream gives, through a memory table; for tests and small results."""
-    write = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    query = (write.option("checkpointLocation", checkpoint) if checkpoint else write).start()
-    query.awaitTermination()
-    return df.sparkSession.table(name)
+    """What a finite stream gives, as a view of that name over files that the executors write in the shared checkpoint folder.
+
+    Each micro-batch has a folder of its own, and one that runs again replaces what it wrote; in complete mode the
+    last one's rows are the result. A stream that goes on from a given checkpoint finds its earlier batches beside it.
+    """
+    spark = df.sparkSession
+    at = checkpoint or f"{order.checkpoint_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
+    rows = f"{at.rstrip('/')}/rows"
+    spark.createDataFrame([], df.schema).write.mode("append").parquet(rows)  # a stream without batches has no rows
+
+    def one(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{rows}/{'complete' if mode == 'complete' else number}")
+
+    write = df.writeStream.foreachBatch(one).queryName(name).outputMode(mode).trigger(availableNow=True)
+    write.option("checkpointLocation", at).start().awaitTermination()
+    spark.read.schema(df.schema).option("recursiveFileLookup", "true").parquet(rows).createOrReplaceTempView(name)
+    return spark.table(name)

@@ -201,6 +201,26 @@ def test_stream_refuses_whole_frame_steps(spark, tmp_path, df):
     assert {r.t for r in found.collect()} == {"HELLO WORLD-FOO", None, "X (Y) [Z]"}
 
 
+def test_drained_streams_are_files_and_not_rows_of_the_driver(spark, tmp_path):
+    schema = "k long, t string"
+    for k in range(3):
+        spark.range(k * 10, k * 10 + 10, numPartitions=1).selectExpr("id % 4 as k", "cast(id as string) as t").write.mode("append").parquet(str(tmp_path / "in"))
+    source = lambda: runner.source(spark, str(tmp_path / "in"), schema, files_per_trigger=1)
+    found = runner.drain(source(), "drained_rows")
+    assert len(found.inputFiles()) >= 3 and sorted(int(r.t) for r in found.collect()) == list(range(30))
+    assert spark.table("drained_rows").count() == 30 and found.columns == ["k", "t"]
+    # of three batches in complete mode the last one's rows stay
+    found = runner.drain(source().groupBy("k").count(), "drained_counts", "complete")
+    assert found.inputFiles() and {r["k"]: r["count"] for r in found.collect()} == {0: 8, 1: 8, 2: 7, 3: 7}
+    # going on from a checkpoint adds what is new
+    at = str(tmp_path / "checkpoint")
+    assert runner.drain(source(), "drained_first", checkpoint=at).count() == 30
+    spark.createDataFrame([(9, "30")], schema).write.mode("append").parquet(str(tmp_path / "in"))
+    assert sorted(int(r.t) for r in runner.drain(source(), "drained_second", checkpoint=at).collect()) == list(range(31))
+    (tmp_path / "none").mkdir()
+    assert runner.drain(runner.source(spark, str(tmp_path / "none"), schema), "drained_none").collect() == []
+
+
 def test_scan_is_pruned_and_filters_are_pushed(spark):
     made = recipe.run({"read": [{"file": {"name": "/root/testdata/sf0.001/lineitem.parquet"}}], "wrangles": [{"filter": {"where": "l_quantity > 10"}}, {"select.group_by": {"by": "l_returnflag", "sum": "l_tax"}}]}, spark)
     plan = made._jdf.queryExecution().executedPlan().toString()
