@@ -8,6 +8,8 @@ scope() around it ends; what a returned frame reads must outlive it, so that is
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import functools
 import uuid
 from collections.abc import Iterator
 
@@ -145,6 +147,18 @@ class Hashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+@functools.cache
+def keep_memory() -> None:
+    """For a process whose arrays of megabytes come and go: the C library keeps up to 128 MB of freed memory, where it is glibc.
+
+    Else each such array is mapped anew, and its page faults cost as much as the arithmetic on it.
+    """
+    with contextlib.suppress(OSError, AttributeError):
+        library = ctypes.CDLL(None)
+        library.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
+        library.mallopt(-1, 128 << 20)  # M_TRIM_THRESHOLD
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of uint64 that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -24,7 +24,7 @@ import copy
 import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import chain, groupby
 
 import numpy as np
 import pandas as pd
@@ -44,11 +44,15 @@ SAMPLE, MOST_SAMPLE, LONGEST_SAMPLE = 800, 1600, 50_000
 EPOCHS, RATE = 3, 4e-3
 #: The pass over all training rows: tokens of a shard, and the rate to begin with.
 SHARD_TOKENS, PASS_RATE = 2_000_000, 4e-3
+#: A shard's texts begin in the order of their lengths in so many characters, the longest first.
+LONG = 16_384
 #: Most tasks of the pass; weights are added up in chunks of so many, of at most so many tasks at a time.
 MOST_TASKS, CHUNK, FAN = 50_000, 16_384, 256
 END = b""
 SHAPES = 2 * 3 * 4
 FLUSH = 200_000
+#: Characters of short texts whose words are looked up together.
+READ = 1 << 18
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -63,6 +67,22 @@ def shape(word: bytes) -> int:
     return (0 if word.isascii() else 12) + size * 4 + end
 
 
+#: What shape() makes of a word's last byte.
+_ENDS = np.array([shape(bytes([b])) % 4 for b in range(256)], np.int32)
+
+
+def shapes_of(words: list[bytes]) -> np.ndarray:
+    """shape() of each word."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.fromiter([w[-1] if w else 97 for w in words], np.uint8, len(words))
+    plain = np.fromiter(map(bytes.isascii, words), bool, len(words))
+    return np.where(plain, 0, 12).astype(np.int32) + 4 * ((sizes > 4).astype(np.int32) + (sizes > 8)) + _ENDS[ends]
+
+
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(common.xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
 def training(docs: DataFrame) -> DataFrame:
     return docs.where(~held_out(docs["doc_id"]))
 
@@ -75,16 +95,16 @@ def counted(docs: DataFrame) -> DataFrame:
     """(h, shape, n): the words of docs by hash, with counts. Each task adds up what it can hold."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = common.Hashes()
         held: Counter = Counter()
 
         def out() -> pd.DataFrame:
             words = list(held)
-            return pd.DataFrame({"h": known.of(words).view(np.int64), "shape": [shape(w) for w in words], "n": list(held.values())})
+            return pd.DataFrame({"h": hashes_of(words).view(np.int64), "shape": shapes_of(words), "n": np.fromiter(held.values(), np.int64, len(words))})
 
         for part in parts:
             for text in part["text"]:
-                held.update(tokens(text))
+                held.update(common.lowered(text).split())
+                held[END] += 1
                 if len(held) > FLUSH:
                     yield out()
                     held.clear()
@@ -103,10 +123,29 @@ def class_edges(head: int) -> np.ndarray:
 
 
 def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """x as odds, in place, with their sums; each row's greatest is 1."""
-    x -= x.max(axis=1, keepdims=True)
+    """x as odds, in place, with their sums; where some are so large that these could overflow, each row's greatest is 1."""
+    if x.size and not -60 < x.min() <= x.max() < 60:
+        x -= x.max(axis=1, keepdims=True)
     np.exp(x, out=x)
-    return x, x.sum(axis=1)
+    return x, x @ np.ones(x.shape[1], x.dtype)
+
+
+def _summed(rows: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the rows of each word, and the words: sorted by word, neighbours are added up pair by pair."""
+    small = words.astype(np.uint16) if words.size and words.max() < 1 << 16 else words  # 16 bits are sorted by radix
+    order = np.argsort(small, kind="stable")
+    rows, words = rows.take(order, axis=0), words[order]
+    starts = np.concatenate([[True], words[1:] != words[:-1]])
+    place = np.arange(len(words))
+    place -= np.maximum.accumulate(np.where(starts, place, 0))
+    words = words[starts]
+    while len(rows) > len(words):
+        odd = (place & 1).astype(bool)
+        second = np.flatnonzero(odd)
+        rows[second - 1] += rows.take(second, axis=0)
+        first = np.flatnonzero(~odd)
+        rows, place = rows.take(first, axis=0), place[first] >> 1
+    return rows, words
 
 
 class Network:
@@ -130,42 +169,61 @@ class Network:
         }
         self.w = {k: (np.zeros(s) if "bias" in k else random.normal(size=s) * scale).astype(np.float32) for k, s in shapes.items()}
 
-    def run(self, inputs: np.ndarray, fresh: np.ndarray, state: np.ndarray, keep: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def biased(self) -> np.ndarray:
+        """The table with the bias, the gates negated: 1 / (1 + exp(-x)) is what they come to."""
+        table = self.w["table"] + self.w["bias"]
+        table[:, : 2 * STATE] *= -1
+        return table
+
+    def given(self, inputs: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+        """(3, steps, lanes, STATE): what inputs give the two gates, negated, and the new value; table is biased(), where made already."""
+        if table is None and self.w["table"].shape[0] <= inputs.size:
+            table = self.biased()
+        at = inputs.astype(np.int64) * 3 + np.arange(3)[:, None, None]
+        if table is not None:
+            return table.reshape(-1, STATE).take(at, axis=0)
+        found = self.w["table"].reshape(-1, STATE).take(at, axis=0)
+        found += self.w["bias"].reshape(3, 1, 1, STATE)
+        np.negative(found[:2], out=found[:2])
+        return found
+
+    def run(self, inputs: np.ndarray, fresh: np.ndarray, state: np.ndarray, keep: dict | None = None, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """States after each of (steps, lanes) inputs; fresh marks where a document begins and the state is zero."""
-        h, turn = STATE, self.w["turn"]
+        h = STATE
         steps, lanes = inputs.shape
-        given = self.w["table"][inputs]
-        given += self.w["bias"]
-        given[:, :, : 2 * h] *= 0.5  # sigmoid(x) is tanh(x / 2) / 2 + 1 / 2
-        half = turn.copy()
-        half[:, : 2 * h] *= 0.5
+        given = self.given(inputs, table)
+        turn = np.array(self.w["turn"].reshape(h, 3, h).transpose(1, 0, 2), order="C")
+        turn[:2] *= -1
         out = np.empty((steps, lanes, h), given.dtype)
-        begins = fresh.any(axis=1)
+        begins = fresh.any(axis=1).tolist()
         if keep is not None:
-            keep |= {"before": np.empty_like(out), "candidate": np.empty_like(out), "gates": np.empty((steps, lanes, 2 * h), out.dtype), "new": np.empty_like(out)}
-        turned = np.empty((lanes, 3 * h), out.dtype)
-        for t in range(steps):
-            if begins[t]:
-                state = np.where(fresh[t][:, None], out.dtype.type(0), state)
-            np.matmul(state, half, out=turned)
-            gates = given[t, :, : 2 * h]
-            gates += turned[:, : 2 * h]
-            np.tanh(gates, out=gates)
-            gates *= 0.5
-            gates += 0.5
-            update, reset = gates[:, :h], gates[:, h:]
-            new = given[t, :, 2 * h :]
-            if keep is not None:
-                keep["before"][t], keep["candidate"][t] = state, turned[:, 2 * h :]
-            new += reset * turned[:, 2 * h :]
-            np.tanh(new, out=new)
-            following = out[t]
-            np.subtract(state, new, out=following)
-            following *= update
-            following += new
-            state = following
+            before, candidate = np.empty_like(out), np.empty_like(out)
+        turned = np.empty((3, lanes, h), out.dtype)
+        held = np.empty((lanes, h), out.dtype)
+        with np.errstate(over="ignore"):  # a gate that is all but shut
+            for t in range(steps):
+                if begins[t]:
+                    state = np.array(state)
+                    state[fresh[t]] = 0
+                np.matmul(state, turn, out=turned)
+                gates = given[:2, t]
+                gates += turned[:2]
+                np.exp(gates, out=gates)
+                gates += 1
+                np.reciprocal(gates, out=gates)
+                new = given[2, t]
+                if keep is not None:
+                    before[t], candidate[t] = state, turned[2]
+                np.multiply(gates[1], turned[2], out=held)
+                new += held
+                np.tanh(new, out=new)
+                following = out[t]
+                np.subtract(state, new, out=following)
+                following *= gates[0]
+                following += new
+                state = following
         if keep is not None:
-            keep["gates"], keep["new"] = given[:, :, : 2 * h], given[:, :, 2 * h :]
+            keep |= {"before": before, "candidate": candidate, "update": given[0], "reset": given[1], "new": given[2]}
         return out, state
 
     def log_probs(self, states: np.ndarray, targets: np.ndarray, gradients: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
@@ -173,16 +231,19 @@ class Network:
         w = self.w
         of_class = self.of_class[targets]
         order = np.argsort(of_class, kind="stable")
-        states, targets, of_class = states[order], targets[order], of_class[order]
+        states, targets, of_class = states.take(order, axis=0), targets[order], of_class[order]
         at = np.arange(len(targets))
-        odds, sums = _softmax(states @ w["classes"].T + w["class_bias"])
-        chances = odds[at, of_class] / sums
+        odds = states @ w["classes"].T
+        odds += w["class_bias"]
+        odds, sums = _softmax(odds)
+        own = at * self.classes + of_class
+        chances = odds.ravel()[own] / sums
         back = None
         if gradients is not None:
-            odds /= sums[:, None]
-            odds[at, of_class] -= 1
+            odds *= (1 / sums)[:, None]
+            odds.reshape(-1)[own] -= 1
             gradients["classes"] += odds.T @ states
-            gradients["class_bias"] += odds.sum(axis=0)
+            gradients["class_bias"] += np.ones(len(odds), odds.dtype) @ odds
             back = odds @ w["classes"]
         cuts = np.searchsorted(of_class, np.arange(self.classes + 1))
         edges = self.edges.tolist()
@@ -190,22 +251,22 @@ class Network:
             if a == b:
                 continue
             begin, end = edges[k], edges[k + 1]
-            s, word, mine = states[a:b], targets[a:b] - begin, at[: b - a]
-            odds, sums = _softmax(s @ w["words"][begin:end].T + w["word_bias"][begin:end])
-            chances[a:b] *= odds[mine, word] / sums
+            s, word, mine, words = states[a:b], targets[a:b] - begin, at[: b - a], w["words"][begin:end]
+            odds = s @ words.T
+            odds += w["word_bias"][begin:end]
+            odds, sums = _softmax(odds)
+            own = mine * (end - begin) + word
+            chances[a:b] *= odds.ravel()[own] / sums
             if gradients is not None:
-                odds /= sums[:, None]
-                odds[mine, word] -= 1
+                odds *= (1 / sums)[:, None]
+                odds.reshape(-1)[own] -= 1
                 gradients["words"][begin:end] += odds.T @ s
-                gradients["word_bias"][begin:end] += odds.sum(axis=0)
-                back[a:b] += odds @ w["words"][begin:end]
-        out = np.empty_like(chances)
-        out[order] = np.log(np.maximum(chances, np.finfo(chances.dtype).tiny))
-        if back is not None:
-            unsorted = np.empty_like(back)
-            unsorted[order] = back
-            back = unsorted
-        return out, back
+                gradients["word_bias"][begin:end] += np.ones(len(odds), odds.dtype) @ odds
+                back[a:b] += odds @ words
+        unsorted = np.empty_like(order)
+        unsorted[order] = at
+        out = np.log(np.maximum(chances, np.finfo(chances.dtype).tiny))[unsorted]
+        return out, back.take(unsorted, axis=0) if back is not None else None
 
     def gradients(self, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, used: np.ndarray, state: np.ndarray) -> tuple[float, dict, np.ndarray]:
         """One window of truncated backpropagation: minus the summed log-probability, its gradients, and the state carried on.
@@ -216,38 +277,46 @@ class Network:
         states, last = self.run(inputs, fresh, state, keep)
         steps, lanes, _ = states.shape
         found = {k: np.zeros_like(v) for k, v in self.w.items() if k != "table"}
-        mask = used.ravel()
-        down = np.zeros((steps * lanes, h), states.dtype)
-        logs, down[mask] = self.log_probs(states.reshape(-1, h)[mask], targets.ravel()[mask], found)
+        if used.all():
+            logs, down = self.log_probs(states.reshape(-1, h), targets.ravel(), found)
+        else:
+            at = np.flatnonzero(used)
+            down = np.zeros((steps * lanes, h), states.dtype)
+            logs, down[at] = self.log_probs(states.reshape(-1, h).take(at, axis=0), targets.ravel()[at], found)
         down = down.reshape(steps, lanes, h)
-        update, reset = keep["gates"][:, :, :h], keep["gates"][:, :, h:]
+        update, reset, new, before = keep["update"], keep["reset"], keep["new"], keep["before"]
         # what a state's gradient comes to at the gates and the new value, before the recurrent weights
-        factors = np.empty((steps, lanes, 3, h), states.dtype)
-        new_factor = (1 - update) * (1 - keep["new"] * keep["new"])
-        factors[:, :, 0] = (keep["before"] - keep["new"]) * update * (1 - update)
-        factors[:, :, 1] = new_factor * keep["candidate"] * reset * (1 - reset)
-        factors[:, :, 2] = new_factor * reset
-        turned = np.empty((steps, lanes, 3 * h), states.dtype)
+        turned = np.empty((3, steps, lanes, h), states.dtype)
+        shut = 1 - update
+        new_factor = 1 - new * new
+        new_factor *= shut
+        np.subtract(before, new, out=turned[0])
+        turned[0] *= update
+        turned[0] *= shut
+        np.multiply(new_factor, reset, out=turned[2])
+        np.multiply(turned[2], keep["candidate"], out=turned[1])
+        turned[1] *= 1 - reset
         later = np.zeros((lanes, h), states.dtype)
-        turn_back = np.ascontiguousarray(self.w["turn"].T)
-        begins = fresh.any(axis=1)
+        turn_back = np.ascontiguousarray(self.w["turn"].reshape(h, 3, h).transpose(1, 2, 0))
+        each = np.empty((3, lanes, h), states.dtype)
+        begins = fresh.any(axis=1).tolist()
         for t in range(steps - 1, -1, -1):
             d = down[t]
             d += later
-            np.multiply(factors[t], d[:, None, :], out=turned[t].reshape(lanes, 3, h))
-            later = turned[t] @ turn_back
-            later += d * update[t]
+            now = turned[:, t]
+            now *= d
+            np.matmul(now, turn_back, out=each)
+            np.multiply(d, update[t], out=later)
+            later += each[0]
+            later += each[1]
+            later += each[2]
             if begins[t]:
                 later[fresh[t]] = 0
-        found["turn"] = keep["before"].reshape(-1, h).T @ turned.reshape(-1, 3 * h)
-        turned[:, :, 2 * h :] = down * new_factor  # at the inputs the new value isn't reset
-        flat = turned.reshape(-1, 3 * h)
-        found["bias"] = flat.sum(axis=0)
-        words = inputs.ravel()
-        order = np.argsort(words, kind="stable")
-        words = words[order]
-        starts = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
-        found["table"], found["rows"] = np.add.reduceat(flat[order], starts, axis=0), words[starts]
+        flat = turned.reshape(3, -1, h)
+        found["turn"] = np.matmul(before.reshape(-1, h).T, flat).transpose(1, 0, 2).reshape(h, 3 * h)
+        np.multiply(down, new_factor, out=turned[2])  # at the inputs the new value isn't reset
+        found["bias"] = (np.ones(flat.shape[1], flat.dtype) @ flat).ravel()
+        found["table"], found["rows"] = _summed(flat.transpose(1, 0, 2).reshape(-1, 3 * h), inputs.ravel())
         return -float(logs.sum()), found, last
 
     def learn(self, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, used: np.ndarray, state: np.ndarray, adam: dict) -> np.ndarray:
@@ -322,11 +391,12 @@ def train(texts: list[np.ndarray], head: int, first: int) -> Network:
     return out
 
 
-def numbered_windows(texts: Iterator[np.ndarray], first: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def numbered_windows(texts: Iterator[np.ndarray], first: int, widen: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """All texts through LANES lanes, each text whole in one lane.
 
-    Yields the lanes in use and, each (WINDOW, lanes), inputs, targets, whether a text begins here, and the
-    text's number (-1: none). A lane without a text left stays empty.
+    Yields the lanes in use and, each (steps, lanes), inputs, targets, whether a text begins here, and the
+    text's number (-1: none). A lane without a text left stays empty. A window has WINDOW steps; to widen makes it
+    STRETCH where so few lanes are left that it is no larger, which scores alike but learns less often.
     """
     texts = iter(texts)
     held: list[tuple[np.ndarray, int, int] | None] = [None] * LANES
@@ -352,8 +422,9 @@ def numbered_windows(texts: Iterator[np.ndarray], first: int) -> Iterator[tuple[
             held[lane] = now
         if numbers.max() < 0:
             return
-        for at in range(0, STRETCH, WINDOW):
-            cut = slice(at, at + WINDOW)
+        width = STRETCH if widen and np.count_nonzero(numbers[:, 0] >= 0) * STRETCH <= LANES * WINDOW else WINDOW
+        for at in range(0, STRETCH, width):
+            cut = slice(at, at + width)
             lanes = np.flatnonzero(numbers[:, at] >= 0)  # a lane that is empty here is empty from here on
             if len(lanes):
                 yield lanes, *(np.ascontiguousarray(x[lanes, cut].T) for x in (inputs, targets, fresh, numbers))
@@ -367,6 +438,7 @@ def windows(texts: Iterator[np.ndarray], first: int) -> Iterator[tuple[np.ndarra
 
 def learn_all(network: Network, texts: Iterator[np.ndarray], first: int, expected: int) -> int:
     """One pass of a network over texts of about that many tokens; returns their number."""
+    common.keep_memory()
     adam = {"t": 0}
     state = np.zeros((LANES, STATE), np.float32)
     seen = 0
@@ -391,7 +463,7 @@ def learned(docs: DataFrame, start: Network, sent: Broadcast, first: int, total:
         added, seen, task = 0.0, 0, -1
         for shard, group in groupby(rows, lambda r: r[0]):
             network = copy.deepcopy(begun.value)
-            n = learn_all(network, (mine.ids_of(t) for _, t in group), first, total // shards)
+            n = learn_all(network, mine.ids_of(t for _, t in group), first, total // shards)
             added = added + n * np.concatenate([network.w[k].ravel() for k in sorted(network.w)]).astype(float)
             seen, task = seen + n, max(task, shard)
         if seen:
@@ -407,7 +479,9 @@ def learned(docs: DataFrame, start: Network, sent: Broadcast, first: int, total:
     schema = "chunk long, task long, n long, w binary"
     dealt = docs.select("text", F.xxhash64("doc_id", "text").alias("at")).withColumn("shard", F.pmod("at", F.lit(shards)))
     # a task of its own for most shards, however small they are; beyond MOST_TASKS a task learns several
-    dealt = dealt.repartition(min(4 * shards, MOST_TASKS), "shard").sortWithinPartitions("shard", "at")
+    # long texts begin first, so that few lanes are left to them at the end
+    long_first = F.floor(F.coalesce(F.length("text"), F.lit(0)) / LONG).desc()
+    dealt = dealt.repartition(min(4 * shards, MOST_TASKS), "shard").sortWithinPartitions("shard", long_first, "at")
     made = common.table(dealt.select("shard", "text").mapInPandas(run, schema), "weights")
     # sums of at most FAN tasks, then of as many of these; a number of shards has a few levels
     left = shards
@@ -431,13 +505,25 @@ def learned(docs: DataFrame, start: Network, sent: Broadcast, first: int, total:
 def streamed(network: Network, texts: Iterator[np.ndarray], first: int) -> Iterator[tuple[int, float]]:
     """(number, log10 of its probability but for the words within shapes) of each whole text, as they end."""
     state = np.zeros((LANES, STATE), np.float32)
+    common.keep_memory()
+    table = network.biased()
     open_: dict[int, float] = {}
-    for lanes, inputs, targets, fresh, numbers in numbered_windows(texts, first):
-        states, state[lanes] = network.run(inputs, fresh, state[lanes])
-        used = numbers.ravel() >= 0
-        logs, _ = network.log_probs(states.reshape(-1, STATE)[used], targets.ravel()[used])
-        mine, which = np.unique(numbers.ravel()[used], return_inverse=True)
-        for k, x in zip(mine.tolist(), np.bincount(which, logs).tolist(), strict=True):
+    for lanes, inputs, targets, fresh, numbers in numbered_windows(texts, first, widen=True):
+        states, state[lanes] = network.run(inputs, fresh, state[lanes], table=table)
+        states, numbers_, targets = states.reshape(-1, STATE), numbers.ravel(), targets.ravel()
+        if numbers_.min() < 0:
+            used = np.flatnonzero(numbers_ >= 0)
+            states, numbers_, targets = states.take(used, axis=0), numbers_[used], targets[used]
+        logs, _ = network.log_probs(states, targets)
+        base = numbers_.min()
+        if numbers_.max() - base < 4 * LANES * WINDOW:
+            which = numbers_ - base
+            mine = np.flatnonzero(np.bincount(which))
+            sums, mine = np.bincount(which, logs)[mine], mine + base
+        else:  # a very long text beside others
+            mine, which = np.unique(numbers_, return_inverse=True)
+            sums = np.bincount(which, logs)
+        for k, x in zip(mine.tolist(), sums.tolist(), strict=True):
             open_[k] = open_.get(k, 0.0) + x
         going = set(numbers[-1].tolist())  # the last step's texts may go on
         for k in [k for k in open_ if k not in going]:
@@ -455,14 +541,14 @@ def log10_probs(network: Network, texts: list[np.ndarray], first: int) -> np.nda
 
 
 class _Slots(dict):
-    """Words to places in a Reader's tables; a new word gets the next place."""
+    """Words to places in a Reader's tables; a new word gets the next place and is noted."""
 
-    def __init__(self, reader: Reader) -> None:
-        self.reader = reader
+    def __init__(self) -> None:
+        self.new: list[bytes] = []
 
     def __missing__(self, word: bytes) -> int:
         out = self[word] = len(self)
-        self.reader.add(out, word)
+        self.new.append(word)
         return out
 
 
@@ -472,33 +558,46 @@ class Reader:
     LIMIT = 200_000
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, head: int) -> None:
-        self.known = dict(zip(hashes.tolist(), counts.tolist(), strict=True))
-        self.numbers = dict(zip(hashes[:head].tolist(), range(head), strict=True))
+        order = np.argsort(hashes)
+        self.sorted = np.append(hashes[order], np.uint64(common.MASK))
+        self.known, self.numbers = np.append(counts[order], -1), np.append(order, head)
         self.head = head
-        self.slots = _Slots(self)
+        self.slots = _Slots()
         self.hashes, self.ids, self.counts = np.zeros(4096, np.uint64), np.zeros(4096, np.int32), np.zeros(4096, np.int64)
 
-    def add(self, at: int, word: bytes) -> None:
-        if at >= len(self.ids):
+    def add(self, words: list[bytes], end: int) -> None:
+        """Fills the last places, up to end, with words."""
+        while end > len(self.ids):
             self.hashes, self.ids, self.counts = (np.resize(x, 2 * len(x)) for x in (self.hashes, self.ids, self.counts))
-        h = common.xxhash.xxh3_64_intdigest(word)
-        number = self.numbers.get(h, -1)
-        self.hashes[at], self.ids[at], self.counts[at] = h, number if number >= 0 else self.head + shape(word), self.known.get(h, -1)
+        h, here = hashes_of(words), slice(end - len(words), end)
+        at = np.searchsorted(self.sorted, h)
+        found = self.sorted[at] == h
+        number = np.where(found, self.numbers[at], self.head)
+        self.hashes[here] = h
+        self.ids[here] = np.where(number < self.head, number, self.head + shapes_of(words))
+        self.counts[here] = np.where(found, self.known[at], -1)
 
     def places(self, words: list[bytes]) -> np.ndarray:
         """Where hashes, ids and counts (-1 where only the join knows it) have each word; good until the next call."""
         if len(self.slots) > self.LIMIT:
             self.slots.clear()
-        return np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
+        out = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
+        if self.slots.new:
+            self.add(self.slots.new, len(self.slots))
+            self.slots.new = []
+        return out
 
     def read(self, word: bytes) -> tuple[int, int, int]:
         """(hash, id, count or -1) of a word."""
         at = self.places([word])[0]
         return int(self.hashes[at]), int(self.ids[at]), int(self.counts[at])
 
-    def ids_of(self, text: str | None) -> np.ndarray:
-        at = self.places(tokens(text))
-        return self.ids[at]
+    def ids_of(self, texts: Iterator[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text, read some texts at a time."""
+        for some in common.batches(((len(t or ""), t) for t in texts), READ):
+            split = [tokens(t) for t in some]
+            at = self.places(list(chain.from_iterable(split)))
+            yield from np.split(self.ids[at], np.cumsum([len(x) for x in split[:-1]], dtype=np.int64))
 
 
 def most_frequent(words: DataFrame, most: int = KNOWN) -> DataFrame:
@@ -530,15 +629,15 @@ def scored(docs: DataFrame) -> DataFrame:
     np.subtract.at(mass, frequent["shape"][:head], counts[:head])
     np.subtract.at(kinds, frequent["shape"][:head], 1)
     reader = Reader(hashes, counts, head)
-    end_hash, first, _ = reader.read(END)
-    n_docs = max(1, int(reader.known.get(end_hash, 1)))
+    _, first, end_count = reader.read(END)
+    n_docs = max(1, end_count)
 
     sent = spark.sparkContext.broadcast((hashes, counts, head))
 
     def to_ids(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         mine = Reader(*sent.value)
         for part in parts:
-            yield pd.Series([mine.ids_of(t) for t in part], dtype=object)
+            yield pd.Series(list(mine.ids_of(part)), dtype=object)
 
     share = F.lit(min(1 << 30, int(SAMPLE / n_docs * (1 << 30))))
     chosen = training(docs).where((F.pmod(F.xxhash64(F.coalesce(docs["doc_id"], F.lit(0)), F.lit(11)), F.lit(1 << 30)) < share) & (F.length("text") <= LONGEST_SAMPLE)).limit(MOST_SAMPLE)

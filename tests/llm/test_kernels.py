@@ -211,6 +211,46 @@ def test_learning_lowers_the_loss():
     assert loss() < before * 0.9
 
 
+def test_learning_keeps_the_memory_of_its_arrays():
+    """Arrays mapped anew for each window took a third of the time of learning, in page faults."""
+    import resource
+
+    random_ = np.random.default_rng(1)
+    net = language_model.Network(300)
+    texts = [random_.integers(0, 300, 400).astype(np.int32) for _ in range(300)]
+    language_model.learn_all(net, iter(texts), 0, 120_000)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    language_model.learn_all(net, iter(texts), 0, 120_000)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before < 10_000
+
+
+def test_words_are_read_in_bulk_as_one_by_one():
+    words = [b"", b"a", b"abcd", b"abcde", b"abcdefgh", b"abcdefghi", b"ab.", b"what?", b"so!", b"and,", b"so;", b"(x)", "é".encode(), "wörter,".encode(), b"\xff"]
+    assert language_model.shapes_of(words).tolist() == [language_model.shape(w) for w in words]
+    hashes = language_model.hashes_of([b"", b"so!", b"a", b"ab."])
+    reader = language_model.Reader(hashes, np.array([9, 7, 5, 3]), 3)
+    texts = ["A so! new, ab.", None, "a " * 9, "\xa0 x\x1cy\x0bz ", *[str(k) for k in range(5000)]]
+    for text, ids in zip(texts, reader.ids_of(texts), strict=True):
+        known = {b"": 0, b"so!": 1, b"a": 2}
+        assert ids.tolist() == [known.get(w, 3 + language_model.shape(w)) for w in language_model.tokens(text)]
+    assert [reader.read(w)[1:] for w in (b"", b"ab.", b"none")] == [(0, 9), (3 + language_model.shape(b"ab."), 3), (3 + language_model.shape(b"none"), -1)]
+    none = language_model.Reader(hashes[:0], np.zeros(0, np.int64), 0)
+    assert none.read(b"a")[1:] == (language_model.shape(b"a"), -1)
+
+
+def test_large_odds_do_not_overflow():
+    odds, sums = language_model._softmax(np.array([[1000.0, 999.0, -1000.0], [3.0, 3.0, 3.0]], np.float32))
+    assert np.allclose(odds / sums[:, None], [[0.731059, 0.268941, 0], [1 / 3] * 3])
+
+
+def test_rows_are_summed_by_word():
+    random_ = np.random.default_rng(3)
+    for n, most in ((1, 1), (500, 1), (500, 7), (500, 100_000)):
+        rows, words = random_.normal(size=(n, 4)), random_.integers(0, most, n)
+        found, kinds = language_model._summed(rows, words)
+        assert kinds.tolist() == sorted(set(words.tolist())) and np.allclose(found, [rows[words == k].sum(axis=0) for k in kinds])
+
+
 def test_lanes_hold_every_token_once():
     texts = [np.arange(n) + 100 * n for n in (3, 1, 7, 2)]
     inputs, targets, numbers, fresh = language_model.lanes_of(texts, 2, 9)
