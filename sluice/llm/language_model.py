@@ -477,11 +477,11 @@ def learned(docs: DataFrame, start: Network, sent: Broadcast, first: int, total:
         return pd.DataFrame({"chunk": [group["chunk"].iloc[0]], "task": [group["task"].iloc[0]], "n": [n], "w": [out.tobytes()]})
 
     schema = "chunk long, task long, n long, w binary"
-    dealt = docs.select("text", F.xxhash64("doc_id", "text").alias("at")).withColumn("shard", F.pmod("at", F.lit(shards)))
+    # long texts begin first, so that few lanes are left to them at the end; a sort by an expression would find it at each comparison
+    size = F.floor(F.coalesce(F.length("text"), F.lit(0)) / LONG)
+    dealt = docs.select("text", F.xxhash64("doc_id", "text").alias("at"), size.alias("size")).withColumn("shard", F.pmod("at", F.lit(shards)))
     # a task of its own for most shards, however small they are; beyond MOST_TASKS a task learns several
-    # long texts begin first, so that few lanes are left to them at the end
-    long_first = F.floor(F.coalesce(F.length("text"), F.lit(0)) / LONG).desc()
-    dealt = dealt.repartition(min(4 * shards, MOST_TASKS), "shard").sortWithinPartitions("shard", long_first, "at")
+    dealt = dealt.repartition(min(4 * shards, MOST_TASKS), "shard").sortWithinPartitions("shard", F.desc("size"), "at")
     made = common.table(dealt.select("shard", "text").mapInPandas(run, schema), "weights")
     # sums of at most FAN tasks, then of as many of these; a number of shards has a few levels
     left = shards
