@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Most entries of each memo; a full one becomes the older half and a new one begins.
-CACHED_PARTS, CACHED_PIECES, CACHED_PAIRS, CACHED_CHARS = 300_000, 150_000, 400_000, 40
+#: Most entries of each memo; a full one becomes the older half, from which what is met again moves, and a new one begins. Ids are held as the bytes of
+#: their 32-bit numbers, the least that Python has for some numbers.
+CACHED_PARTS, CACHED_PIECES, CACHED_PAIRS, CACHED_CHARS = 250_000, 60_000, 200_000, 40
 
 
 class Codec:
@@ -49,10 +50,10 @@ class Codec:
         self.shorter: dict[int, int] = {}
         self.beside: dict[int, bool] = {}
         self.parts: dict[int, tuple[int, int]] = {}
-        self.newer: dict[str, array] = {}
-        self.older: dict[str, array] = {}
-        self.newer_pieces: dict[str, list[int]] = {}
-        self.older_pieces: dict[str, list[int]] = {}
+        self.newer: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.newer_pieces: dict[str, bytes] = {}
+        self.older_pieces: dict[str, bytes] = {}
         self.odd_space = re.compile(r" \s|\s ")
 
     def shorter_prefix(self, token: int) -> int:
@@ -143,30 +144,35 @@ class Codec:
                 token = shorter
         return out
 
-    def encode_piece(self, piece: str) -> list[int]:
-        out = self.older_pieces.get(piece)
-        if out is None:
-            data = piece.encode("utf-8", "surrogatepass")
-            whole = self.ids.get(data)
-            out = [whole] if whole is not None else self.backtrack(data)
+    def piece_ids(self, piece: str) -> bytes:
+        data = piece.encode("utf-8", "surrogatepass")
+        whole = self.ids.get(data)
+        return array("i", [whole] if whole is not None else self.backtrack(data)).tobytes()
+
+    def encode_piece(self, piece: str) -> bytes:
+        out = self.older_pieces.pop(piece, None) or self.piece_ids(piece)
         if len(piece) <= CACHED_CHARS:
             if len(self.newer_pieces) >= CACHED_PIECES:
                 self.older_pieces, self.newer_pieces = self.newer_pieces, {}
             self.newer_pieces[piece] = out
         return out
 
-    def encode_part(self, part: str) -> array:
+    def encode_part(self, part: str) -> bytes:
         """The ids of a part of a text that the pattern never matches across the ends of."""
-        out, get, one = array("i"), self.newer_pieces.get, self.encode_piece
-        for piece in self.pieces.findall(part):
-            out.extend(get(piece) or one(piece))
-        return out
+        get, one = self.newer_pieces.get, self.encode_piece
+        return b"".join([get(piece) or one(piece) for piece in self.pieces.findall(part)])
 
-    def encode_word(self, word: str) -> array:
+    def encode_word(self, word: str) -> bytes:
         """The ids of a word and the space before it; short words are remembered."""
-        out = self.older.get(word)
+        out = self.older.pop(word, None)
         if out is None:
-            out = self.encode_part(" " + word)
+            part = " " + word
+            first = self.pieces.match(part)
+            if len(word) < CACHED_CHARS and first and first.end() == len(part):
+                # one piece, which is remembered as a word and not twice
+                out = self.newer_pieces.get(part) or self.older_pieces.get(part) or self.piece_ids(part)
+            else:
+                out = self.encode_part(part)
         if len(word) <= CACHED_CHARS:
             if len(self.newer) >= CACHED_PARTS:
                 self.older, self.newer = self.newer, {}
@@ -180,13 +186,14 @@ class Codec:
         whose spaces all stand so is taken word by word.
         """
         text = text or ""
+        out = array("i")
         if self.odd_space.search(text):
-            return self.encode_part(text)
+            out.frombytes(self.encode_part(text))
+            return out
         first, *rest = text.split(" ")
-        out = array("i", self.encode_part(first))
-        add, one = out.extend, self.encode_word
-        for word, ids in zip(rest, map(self.newer.get, rest), strict=True):
-            add(one(word) if ids is None else ids)
+        one = self.encode_word
+        words = [one(word) if ids is None else ids for word, ids in zip(rest, map(self.newer.get, rest), strict=True)]
+        out.frombytes(self.encode_part(first) + b"".join(words))
         return out
 
     def decode(self, ids) -> bytes:
@@ -195,10 +202,15 @@ class Codec:
 
 @cache
 def codec(ranks: str, pattern: str) -> Codec:
-    """One codec for each worker process."""
+    """One codec for each worker process, until that turns to another operator."""
     return Codec(ranks, pattern)
 
 
+def own_codec(ranks: str, pattern: str) -> Codec:
+    common.turn_to("bpe", codec.cache_clear)
+    return codec(ranks, pattern)
+
+
 def default_vocabulary() -> tuple[str, str]:
     """The rank file and the pattern of the contract's tokenizer."""
     import public_tokenizers
@@ -210,7 +222,7 @@ def encoded(text: str | F.Column, ranks: str, pattern: str) -> F.Column:
     """A column of the ids of a text column; array<int>, empty for null."""
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        one = codec(ranks, pattern)
+        one = own_codec(ranks, pattern)
         for part in texts:
             yield pd.Series([np.frombuffer(one.encode(t), np.int32) for t in part], dtype=object)
 
@@ -221,7 +233,7 @@ def decoded(ids: str | F.Column, ranks: str, pattern: str) -> F.Column:
     """A column of the bytes of an ids column; a text's bytes are UTF-8."""
 
     def run(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        one = codec(ranks, pattern)
+        one = own_codec(ranks, pattern)
         for part in lists:
             yield pd.Series([one.decode([] if x is None else x.tolist()) for x in part], dtype=object)
 
@@ -232,7 +244,7 @@ def round_trip(text: str | F.Column, ranks: str, pattern: str) -> F.Column:
     """A struct column: the ids of a text column, and the bytes that they decode to, by one worker."""
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        one = codec(ranks, pattern)
+        one = own_codec(ranks, pattern)
         for part in texts:
             ids = [one.encode(t) for t in part]
             yield pd.DataFrame({"ids": pd.Series([np.frombuffer(x, np.int32) for x in ids], dtype=object), "bytes": pd.Series(map(one.decode, ids), dtype=object)})

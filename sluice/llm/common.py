@@ -11,7 +11,7 @@ import contextlib
 import ctypes
 import functools
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import xxhash
@@ -159,6 +159,21 @@ def keep_memory() -> None:
         library.mallopt(-1, 128 << 20)  # M_TRIM_THRESHOLD
 
 
+_remembered: dict[str, Callable[[], None]] = {}
+
+
+def turn_to(operator: str, forget: Callable[[], None] | None = None) -> None:
+    """Says whose task this process begins: what it remembers of another operator's tasks goes.
+
+    Spark's worker processes outlive tasks and stages. forget is what an operator that remembers from task to task
+    leaves to be called when another one begins.
+    """
+    for name in [k for k in _remembered if k != operator]:
+        _remembered.pop(name)()
+    if forget is not None:
+        _remembered[operator] = forget
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of uint64 that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -139,6 +139,7 @@ def matches(docs: DataFrame, items: DataFrame, percent: int = ERROR_PERCENT) ->
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def search(parts: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            common.turn_to("decontaminate")
             matcher = Matcher(sent.value, percent)
             for part in parts:
                 rows = [(d, *m) for d, t in zip(part["doc_id"].astype("Int64"), part["text"], strict=True) for m in matcher.search(t)]
@@ -151,6 +152,7 @@ def matches(docs: DataFrame, items: DataFrame, percent: int = ERROR_PERCENT) ->
 
 def _free_of(block: Broadcast, percent: int):
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        common.turn_to("decontaminate")
         matcher = Matcher(block.value, percent)
         for part in parts:
             yield pd.Series([not matcher.search(t) for t in part], dtype=bool)

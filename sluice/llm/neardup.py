@@ -105,6 +105,7 @@ def signed(text: str | None, size: int, known: common.Hashes) -> tuple:
 
 def _sign(docs: DataFrame, size: int) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common.turn_to("neardup")
         known = common.Hashes()
         for part in parts:
             rows = [signed(t, size, known) for t in part["text"]]
@@ -147,6 +148,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int,
     held = common.table(wanted.join(texts, F.col("doc_id").eqNullSafe(F.col("id")) & (wanted["row"] == texts["row"])).select("c", "text").dropDuplicates(["c"]), "texts")
 
     def similar(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common.turn_to("neardup")
         known = common.Hashes()
         last, y = None, None  # a leader's pairs come together: it is read once
         for part in parts:
@@ -241,6 +243,7 @@ def _across(at: DataFrame, classes: DataFrame, docs: DataFrame, size: int, perce
     dealt = left.union(right).join(held, "c")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common.turn_to("neardup")
         known = common.Hashes()
         last, tile_rows = None, []
         names = ["c", "k", "open", "side", "n", "signature", "bands", "text"]

@@ -331,3 +331,16 @@ def test_pages_of_the_table_give_their_articles():
         body = re.search(r"<article>(.*?)</article>", page, re.S)[1]
         parts = [" ".join(html.unescape(re.sub(r"</?b>", "", x).replace("<br>", " ")).split()) for x in re.split(r"</?(?:p|h1)>", body)]
         assert pages.article(page) == "\n".join(x for x in parts if x)
+
+
+def test_codec_memos_are_compact_and_go_with_the_operator():
+    codec = bpe.own_codec(*bpe.default_vocabulary())
+    assert bpe.own_codec(*bpe.default_vocabulary()) is codec  # kept from task to task
+    codec.encode("token, token said so")
+    assert all(type(x) is bytes for x in [*codec.newer.values(), *codec.newer_pieces.values()])
+    assert " said" not in codec.newer_pieces  # of one piece, and remembered as a word
+    codec.older, codec.newer = codec.newer, {}
+    codec.encode("a token")
+    assert "token" in codec.newer and "token" not in codec.older
+    next(rules._judge_all(iter([[None]])))
+    assert bpe.codec.cache_info().currsize == 0
