@@ -11,7 +11,8 @@ pass, texts of any length whole. The shards grow in number with the rows, not in
 weights of its own, and their mean by tokens is the model. The head grows with the root of the distinct words.
 
 Word counts cover all training rows. Executors get the model and the counts of the KNOWN most frequent
-words, a bounded table; the counts of the rest come by a join on the word's hash.
+words, a bounded table; the counts of the rest come by a join on the word's hash. Once all are counted each text is
+read once more, into ids; the sample, the pass of learning and the scoring have these and no text.
 
 Defined results: a null or empty text is one end token. Rows that repeat a doc_id are each scored by
 their own text. A null doc_id is never held out. With no training rows every count is 0. Words tied in
@@ -28,7 +29,6 @@ from itertools import chain, groupby
 
 import numpy as np
 import pandas as pd
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,8 +44,8 @@ SAMPLE, MOST_SAMPLE, LONGEST_SAMPLE = 800, 1600, 50_000
 EPOCHS, RATE = 3, 4e-3
 #: The pass over all training rows: tokens of a shard, and the rate to begin with.
 SHARD_TOKENS, PASS_RATE = 2_000_000, 4e-3
-#: A shard's texts begin in the order of their lengths in so many characters, the longest first.
-LONG = 16_384
+#: A shard's texts begin in the order of their lengths in so many tokens, the longest first.
+LONG = 2_600
 #: Most tasks of the pass; weights are added up in chunks of so many, of at most so many tasks at a time.
 MOST_TASKS, CHUNK, FAN = 50_000, 16_384, 256
 END = b""
@@ -331,18 +331,24 @@ class Network:
         for k, g in found.items():
             g *= scale
             m, v = adam.setdefault(k, (np.zeros_like(self.w[k]), np.zeros_like(self.w[k])))
-            at = rows if k == "table" else slice(None)
-            new_m, new_v = m[at] * np.float32(0.9), v[at] * np.float32(0.999)
+            new_m, new_v = (m.take(rows, axis=0), v.take(rows, axis=0)) if k == "table" else (m, v)
+            new_m *= np.float32(0.9)
+            new_v *= np.float32(0.999)
             new_m += np.float32(0.1) * g
-            g *= g
-            new_v += np.float32(0.001) * g
-            m[at], v[at] = new_m, new_v
-            np.sqrt(new_v, out=new_v)
-            new_v *= unbias
-            new_v += np.float32(1e-8)
-            new_m /= new_v
-            new_m *= rate
-            self.w[k][at] -= new_m
+            np.multiply(g, g, out=g)
+            g *= np.float32(0.001)
+            new_v += g
+            np.sqrt(new_v, out=g)
+            g *= unbias
+            g += np.float32(1e-8)
+            np.divide(new_m, g, out=g)
+            g *= rate
+            if k == "table":
+                m[rows], v[rows] = new_m, new_v
+                g = self.w[k].take(rows, axis=0) - g
+                self.w[k][rows] = g
+            else:
+                self.w[k] -= g
         return last
 
 
@@ -452,18 +458,23 @@ def learn_all(network: Network, texts: Iterator[np.ndarray], first: int, expecte
     return seen
 
 
-def learned(docs: DataFrame, start: Network, sent: Broadcast, first: int, total: int) -> Network:
-    """The network after a pass over all of docs, by shards that don't depend on how docs are partitioned."""
+def ids_kind(head: int) -> str:
+    """The type of a text's ids as read_texts() writes them."""
+    return "<u2" if head + SHAPES <= 1 << 16 else "<i4"
+
+
+def learned(read: DataFrame, start: Network, first: int, total: int) -> Network:
+    """The network after a pass over all rows of read (at, n_tokens, ids), by shards that don't depend on how these are partitioned."""
     shards = max(1, total // SHARD_TOKENS)
-    begun = docs.sparkSession.sparkContext.broadcast(start)
+    begun = read.sparkSession.sparkContext.broadcast(start)
+    kind = ids_kind(start.head)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mine = Reader(*sent.value)
-        rows = ((s, t) for part in parts for s, t in zip(part["shard"], part["text"], strict=True))
+        rows = ((s, ids) for part in parts for s, ids in zip(part["shard"], part["ids"], strict=True))
         added, seen, task = 0.0, 0, -1
         for shard, group in groupby(rows, lambda r: r[0]):
             network = copy.deepcopy(begun.value)
-            n = learn_all(network, mine.ids_of(t for _, t in group), first, total // shards)
+            n = learn_all(network, (np.frombuffer(ids, kind) for _, ids in group), first, total // shards)
             added = added + n * np.concatenate([network.w[k].ravel() for k in sorted(network.w)]).astype(float)
             seen, task = seen + n, max(task, shard)
         if seen:
@@ -478,11 +489,11 @@ def learned(docs: DataFrame, start: Network, sent: Broadcast, first: int, total:
 
     schema = "chunk long, task long, n long, w binary"
     # long texts begin first, so that few lanes are left to them at the end; a sort by an expression would find it at each comparison
-    size = F.floor(F.coalesce(F.length("text"), F.lit(0)) / LONG)
-    dealt = docs.select("text", F.xxhash64("doc_id", "text").alias("at"), size.alias("size")).withColumn("shard", F.pmod("at", F.lit(shards)))
+    size = F.floor(F.col("n_tokens") / LONG)
+    dealt = read.select("ids", "at", size.alias("size")).withColumn("shard", F.pmod("at", F.lit(shards)))
     # a task of its own for most shards, however small they are; beyond MOST_TASKS a task learns several
     dealt = dealt.repartition(min(4 * shards, MOST_TASKS), "shard").sortWithinPartitions("shard", F.desc("size"), "at")
-    made = common.table(dealt.select("shard", "text").mapInPandas(run, schema), "weights")
+    made = common.table(dealt.select("shard", "ids").mapInPandas(run, schema), "weights")
     # sums of at most FAN tasks, then of as many of these; a number of shards has a few levels
     left = shards
     while left > 1:
@@ -555,7 +566,7 @@ class _Slots(dict):
 class Reader:
     """Turns words into ids and counts, by the bounded tables that every executor has."""
 
-    LIMIT = 200_000
+    LIMIT = 400_000
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, head: int) -> None:
         order = np.argsort(hashes)
@@ -613,6 +624,45 @@ def most_frequent(words: DataFrame, most: int = KNOWN) -> DataFrame:
     return words.where(level >= least) if least is not None else words.limit(0)
 
 
+_READ = "doc_id long, at long, learn boolean, begins boolean, n_tokens long, n_known long, base_score double, own double, rare array<long>, times array<int>, ids binary"
+
+
+def read_texts(given: DataFrame, tables: tuple[np.ndarray, np.ndarray, int], base_log: float, shape_log: np.ndarray) -> DataFrame:
+    """given (doc_id, at, learn, begins, text) with ids for the text, and what counts alone give: rows of _READ."""
+    sent = given.sparkSession.sparkContext.broadcast((tables, base_log, shape_log))
+    names = [x.split()[0] for x in _READ.split(", ")]
+    head = tables[2]
+    kind = ids_kind(head)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tables, base_log, shape_log = sent.value
+        mine = Reader(*tables)
+        for part in parts:
+            given = zip(part["doc_id"].astype("Int64"), *[part[x] for x in ("at", "learn", "begins", "text")], strict=True)
+            for some in common.batches(((len(r[4] or ""), r) for r in given), READ):
+                split = [tokens(r[4]) for r in some]
+                sizes = np.fromiter(map(len, split), np.int64, len(split))
+                place = mine.places(list(chain.from_iterable(split)))
+                ids, counts = mine.ids[place], mine.counts[place]
+                logs = np.log10(np.maximum(counts, 0) + 1)
+                own = np.where(ids >= head, logs - shape_log[np.maximum(ids - head, 0)], 0)
+                ends = np.cumsum(sizes)
+                begins = ends - sizes  # a text has its end at least, so that no stretch is empty
+                known, base, own = (np.add.reduceat(x, begins) for x in ((counts > 0).astype(np.int64), logs, own))
+                data, width = ids.astype(kind).tobytes(), np.dtype(kind).itemsize
+                unknown = np.flatnonzero(counts < 0)
+                cuts = np.searchsorted(unknown, ends)[:-1]
+                rare = [np.unique(x, return_counts=True) for x in np.split(mine.hashes[place[unknown]].view(np.int64), cuts)]
+                columns = [
+                    pd.array([r[0] for r in some], "Int64"), [r[1] for r in some], [r[2] for r in some], [r[3] for r in some],
+                    sizes, known, base - sizes * base_log, own, [x for x, _ in rare], [n for _, n in rare],
+                    [data[width * a : width * b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)],
+                ]
+                yield pd.DataFrame(dict(zip(names, columns, strict=True)))
+
+    return given.mapInPandas(run, _READ)
+
+
 def scored(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs."""
     spark = docs.sparkSession
@@ -632,62 +682,48 @@ def scored(docs: DataFrame) -> DataFrame:
     _, first, end_count = reader.read(END)
     n_docs = max(1, end_count)
 
-    sent = spark.sparkContext.broadcast((hashes, counts, head))
-
-    def to_ids(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        mine = Reader(*sent.value)
-        for part in parts:
-            yield pd.Series(list(mine.ids_of(part)), dtype=object)
-
+    # what is scored but for the network: the counts' share in base_score, and a word's share within its shape
+    base_log, shape_log = np.log10(total + distinct + 1), np.log10(mass + kinds + 1)
     share = F.lit(min(1 << 30, int(SAMPLE / n_docs * (1 << 30))))
-    chosen = training(docs).where((F.pmod(F.xxhash64(F.coalesce(docs["doc_id"], F.lit(0)), F.lit(11)), F.lit(1 << 30)) < share) & (F.length("text") <= LONGEST_SAMPLE)).limit(MOST_SAMPLE)
-    sample = chosen.select("doc_id", F.pandas_udf(to_ids, "array<int>")("text").alias("ids")).collect()
+    begins = (F.pmod(F.xxhash64(F.coalesce(docs["doc_id"], F.lit(0)), F.lit(11)), F.lit(1 << 30)) < share) & (F.length("text") <= LONGEST_SAMPLE)
+    learn = ~held_out(docs["doc_id"])
+    given = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("at"), learn.alias("learn"), (learn & F.coalesce(begins, F.lit(False))).alias("begins"), "text")
+    read = read_texts(given, (hashes, counts, head), base_log, shape_log)
+    read = common.table(read.withColumn("id", F.monotonically_increasing_id()), "read")  # written once, so ids are settled
+    sample = read.where("begins").limit(MOST_SAMPLE).select("doc_id", "ids").collect()
     sample.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, len(r["ids"])))
-    network = train([np.array(r["ids"], np.int32) for r in sample], head, first)
-    network = learned(training(docs), network, sent, first, total)
+    kind = ids_kind(head)
+    network = train([np.frombuffer(r["ids"], kind).astype(np.int32) for r in sample], head, first)
+    network = learned(read.where("learn"), network, first, total)
 
-    base_log, shape_log = np.log10(total + distinct + 1), np.log10(mass + kinds + 1)
-    model = spark.sparkContext.broadcast((network, base_log, shape_log, first))
+    model = spark.sparkContext.broadcast((network, first))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mine = Reader(*sent.value)
-        network, base_log, shape_log, first = model.value
-        rows: dict[int, tuple] = {}
+        network, first = model.value
+        rows: dict[int, tuple[int, float]] = {}
 
         def texts() -> Iterator[np.ndarray]:
             n = 0
             for part in parts:
                 # long texts first, so that few lanes are left to them at the end
-                for doc, text in sorted(zip(part["doc_id"].astype("Int64"), part["text"], strict=True), key=lambda r: -len(r[1] or "")):
-                    at = mine.places(tokens(text))
-                    ids, counts = mine.ids[at], mine.counts[at]
-                    logs = np.log10(np.maximum(counts, 0) + 1)
-                    outside = ids >= head
-                    rare, times = np.unique(mine.hashes[at[counts < 0]].view(np.int64), return_counts=True)
-                    own = (logs[outside] - shape_log[ids[outside] - head]).sum()
-                    rows[n] = (doc, len(ids), int((counts > 0).sum()), logs.sum() - len(ids) * base_log, own, rare, times)
+                for id_, own, ids in sorted(zip(part["id"], part["own"], part["ids"], strict=True), key=lambda r: -len(r[2])):
+                    rows[n] = (id_, own)
                     n += 1
-                    yield ids
-
-        def out(done: list[tuple]) -> pd.DataFrame:
-            made = pd.DataFrame(done, columns=["doc_id", "n_tokens", "n_known", "base_score", "score", "rare", "times"])
-            return made.astype({"doc_id": "Int64"})
+                    yield np.frombuffer(ids, kind)
 
         done: list[tuple] = []
         for k, score in streamed(network, texts(), first):
-            row = rows.pop(k)
-            done.append((*row[:4], row[4] + score, *row[5:]))
+            id_, own = rows.pop(k)
+            done.append((id_, own + score))
             if len(done) == 500:
-                yield out(done)
+                yield pd.DataFrame(done, columns=["id", "score"])
                 done = []
-        yield out(done)
+        yield pd.DataFrame(done, columns=["id", "score"]).astype({"id": "int64", "score": "float64"})
 
-    schema = "doc_id long, n_tokens long, n_known long, base_score double, score double, rare array<long>, times array<int>"
-    read = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInPandas(run, schema)
-    read = common.table(read.withColumn("id", F.monotonically_increasing_id()), "read")  # written once, so ids are settled
+    scores = common.table(read.select("id", "own", "ids").mapInPandas(run, "id long, score double"), "scores")
     rare = read.select("id", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("id", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
     added = rare.join(words.select("h", "n"), "h").groupBy("id").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("logs"), F.sum("times").alias("found"))
-    out = read.drop("rare", "times").join(added, "id", "left")
+    out = read.select("id", "doc_id", "n_tokens", "n_known", "base_score").join(scores, "id").join(added, "id", "left")
     logs = F.coalesce("logs", F.lit(0.0))
     return out.select(
         "doc_id",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 import pytest
 
@@ -253,6 +254,32 @@ def test_language_model_learns_from_all_rows(spark):
     assert found[1000]["score"] > found[1001]["score"] + 20
 
 
+def test_texts_are_read_into_ids_that_learning_takes(spark):
+    """Learning read every text a second time, and scoring a third."""
+    np = language_model.np
+    texts = ["A so! new, ab. new, none", None, "a " * 300, "", "\xa0 x\x1cy"]
+    given = spark.createDataFrame([(k or None, k, True, False, t) for k, t in enumerate(texts)], "doc_id long, at long, learn boolean, begins boolean, text string")
+    tables = (language_model.hashes_of([b"", b"so!", b"a", b"ab."]), np.array([9, 7, 5, 3]), 3)
+    shape_log = np.arange(language_model.SHAPES) / 8
+    read = language_model.read_texts(given, tables, 2.5, shape_log)
+    found = {r["at"]: r for r in read.collect()}
+    reader = language_model.Reader(*tables)
+    for k, text in enumerate(texts):
+        each = [reader.read(w) for w in language_model.tokens(text)]
+        row = found[k]
+        assert row["doc_id"] == (k or None) and row["n_tokens"] == len(each) and row["n_known"] == sum(n > 0 for _, _, n in each)
+        assert np.frombuffer(row["ids"], language_model.ids_kind(3)).tolist() == [i for _, i, _ in each]
+        logs = [math.log10(max(n, 0) + 1) for _, _, n in each]
+        assert abs(row["base_score"] - sum(x - 2.5 for x in logs)) < 1e-9
+        assert abs(row["own"] - sum(x - shape_log[i - 3] for x, (_, i, _) in zip(logs, each, strict=True) if i >= 3)) < 1e-9
+        rare = sorted(np.uint64(h).view(np.int64).item() for h, _, n in each if n < 0)
+        assert [h for h, n in zip(row["rare"], row["times"], strict=True) for _ in range(n)] == rare
+    assert language_model.ids_kind(65_000) == "<u2" and language_model.ids_kind(1 << 16) == "<i4"
+    before = language_model.Network(3)
+    after = language_model.learned(read.select("at", "n_tokens", "ids"), before, 0, 320)
+    assert not np.array_equal(after.w["words"], before.w["words"])
+
+
 def test_language_model_windows_hold_every_token():
     texts = [language_model.np.arange(n) + 1 for n in (1, 5, 32, 33, 1000, *[7] * 200)]
     seen = [t for _, targets, _, used in language_model.windows(iter(texts), 0) for t in targets[used].tolist()]
