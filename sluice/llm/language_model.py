@@ -12,7 +12,8 @@ weights of its own, and their mean by tokens is the model. The head grows with t
 
 Word counts cover all training rows. Executors get the model and the counts of the KNOWN most frequent
 words, a bounded table; the counts of the rest come by a join on the word's hash. Once all are counted each text is
-read once more, into ids; the sample, the pass of learning and the scoring have these and no text.
+read once more, into ids; the sample, the pass of learning and the scoring have these and no text. Both readings
+find, hash and look up the words of some texts at once, as stretches of bytes.
 
 Defined results: a null or empty text is one end token. Rows that repeat a doc_id are each scored by
 their own text. A null doc_id is never held out. With no training rows every count is 0. Words tied in
@@ -23,9 +24,8 @@ from __future__ import annotations
 
 import copy
 import math
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, groupby
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -50,7 +50,8 @@ LONG = 2_600
 MOST_TASKS, CHUNK, FAN = 50_000, 16_384, 256
 END = b""
 SHAPES = 2 * 3 * 4
-FLUSH = 200_000
+#: Most words with counts that a task holds.
+FLUSH = 1_000_000
 #: Characters of short texts whose words are looked up together.
 READ = 1 << 18
 
@@ -69,18 +70,99 @@ def shape(word: bytes) -> int:
 
 #: What shape() makes of a word's last byte.
 _ENDS = np.array([shape(bytes([b])) % 4 for b in range(256)], np.int32)
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_HIGH = np.uint64(0x8080808080808080)
+_SIZE, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Words that are hashed together, and the longest (bytes) that are; so that what is between fits a cache.
+TOGETHER, LONGEST_WORD = 1 << 14, 64
+
+
+class Words:
+    """Words as stretches of bytes, with what is found of all at once; a word of no bytes is an end."""
+
+    def __init__(self, data: bytes, starts: np.ndarray, sizes: np.ndarray) -> None:
+        """Behind the last word data needs 16 bytes that nothing reads as words."""
+        self.bytes = np.frombuffer(data, np.uint8)
+        self.eights = np.frombuffer(data, "<u8", len(data) // 8)
+        self.starts, self.sizes = starts, sizes
+        #: Bits that are set where a word has letters outside ASCII; hashes() finds them.
+        self.high = np.zeros(len(starts), np.uint64)
+
+    @classmethod
+    def listed(cls, words: list[bytes]) -> Words:
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        return cls(b"".join([*words, bytes(16)]), np.cumsum(sizes) - sizes, sizes)
+
+    @classmethod
+    def of(cls, texts: list[str | None]) -> tuple[Words, np.ndarray]:
+        """The tokens of texts, and how many each has."""
+        each = [common.lowered(t) for t in texts]
+        data = b"\n".join([b"", *each, b" " * 16])
+        found = np.frombuffer(data, np.uint8)
+        space = found == 32
+        space |= found - np.uint8(9) < 5
+        edges = np.flatnonzero(space[1:] != space[:-1])
+        edges += 1
+        starts, ends = edges[::2], edges[1::2]
+        after = np.cumsum(np.fromiter(map(len, each), np.int64, len(each)) + 1)
+        stops = np.searchsorted(starts, after) + np.arange(len(each))  # where the ends of the texts come
+        word = np.ones(len(starts) + len(each), bool)
+        word[stops] = False
+        sizes, begins = np.zeros(len(word), np.int64), np.zeros(len(word), np.int64)
+        begins[word], sizes[word] = starts, ends - starts
+        return cls(data, begins, sizes), np.diff(stops, prepend=-1)
+
+    def _eight(self, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The next eight bytes of each, as far as there are so many."""
+        at, shift = starts >> 3, ((starts & 7) << 3).astype(np.uint64)
+        out = self.eights.take(at)
+        out >>= shift
+        at += 1
+        more = self.eights.take(at)
+        more <<= np.uint64(1)
+        more <<= np.uint64(63) - shift
+        out |= more
+        out &= _LOW.take(np.minimum(sizes, 8))
+        return out
+
+    def hashes(self) -> np.ndarray:
+        """64 bits of each word: those of up to eight bytes are mixed, longer ones eight by eight."""
+        out = np.empty(len(self.starts), np.uint64)
+        for a in range(0, len(out), TOGETHER):
+            starts, sizes = self.starts[a : a + TOGETHER], self.sizes[a : a + TOGETHER]
+            now = self._eight(starts, sizes)
+            high = now & _HIGH
+            now ^= (sizes + 1).astype(np.uint64) * _SIZE
+            now = common.mix(now)
+            rest, done = np.flatnonzero(sizes > 8), 8
+            while rest.size and done < LONGEST_WORD:
+                more = self._eight(starts[rest] + done, sizes[rest] - done)
+                high[rest] |= more & _HIGH
+                now[rest] = common.mix(now[rest] * _STEP ^ more)
+                done += 8
+                rest = rest[sizes[rest] > done]
+            for k in rest.tolist():
+                word = self.bytes[starts[k] : starts[k] + sizes[k]].tobytes()
+                now[k], high[k] = common.xxhash.xxh3_64_intdigest(word), 0 if word.isascii() else _HIGH
+            out[a : a + TOGETHER], self.high[a : a + TOGETHER] = now, high
+        return out
+
+    def shapes(self, which: np.ndarray) -> np.ndarray:
+        """shape() of the words at these places; hashes() comes first."""
+        sizes = self.sizes[which]
+        ends = np.where(sizes > 0, self.bytes.take(self.starts[which] + np.maximum(sizes, 1) - 1), 97)
+        return np.where(self.high[which] > 0, 12, 0).astype(np.int32) + 4 * ((sizes > 4).astype(np.int32) + (sizes > 8)) + _ENDS[ends]
 
 
 def shapes_of(words: list[bytes]) -> np.ndarray:
     """shape() of each word."""
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.fromiter([w[-1] if w else 97 for w in words], np.uint8, len(words))
-    plain = np.fromiter(map(bytes.isascii, words), bool, len(words))
-    return np.where(plain, 0, 12).astype(np.int32) + 4 * ((sizes > 4).astype(np.int32) + (sizes > 8)) + _ENDS[ends]
+    listed = Words.listed(words)
+    listed.hashes()
+    return listed.shapes(np.arange(len(words)))
 
 
 def hashes_of(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(common.xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    return Words.listed(words).hashes()
 
 
 def training(docs: DataFrame) -> DataFrame:
@@ -91,29 +173,45 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(FOLDS)) == HELD_OUT, F.lit(False))
 
 
+def _totals(h: np.ndarray, shapes: np.ndarray | Words, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different h, of one at least, each with its shape and the sum of its n (one each, where none is given)."""
+    order = np.argsort(h)
+    h = h[order]
+    starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    n = np.diff(starts, append=len(h)) if n is None else np.add.reduceat(n[order], starts)
+    first = order[starts]
+    return h[starts], shapes.shapes(first) if isinstance(shapes, Words) else shapes[first], n
+
+
 def counted(docs: DataFrame) -> DataFrame:
     """(h, shape, n): the words of docs by hash, with counts. Each task adds up what it can hold."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: Counter = Counter()
-
-        def out() -> pd.DataFrame:
-            words = list(held)
-            return pd.DataFrame({"h": hashes_of(words).view(np.int64), "shape": shapes_of(words), "n": np.fromiter(held.values(), np.int64, len(words))})
-
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
+        common.keep_memory()
         for part in parts:
-            for text in part["text"]:
-                held.update(common.lowered(text).split())
-                held[END] += 1
-                if len(held) > FLUSH:
-                    yield out()
-                    held.clear()
-        yield out()
+            for some in common.batches(((len(t or ""), t) for t in part["text"]), READ):
+                words, _ = Words.of(some)
+                held.append(_totals(words.hashes(), words))
+                size += len(held[-1][0])
+                if size > FLUSH:
+                    held = [_totals(*map(np.concatenate, zip(*held, strict=True)))]
+                    size = len(held[0][0])
+                    if size > FLUSH // 2:
+                        yield _counts(*held.pop())
+                        size = 0
+        if held:
+            yield _counts(*_totals(*map(np.concatenate, zip(*held, strict=True))))
 
     found = docs.select("text").mapInPandas(run, "h long, shape int, n long")
     return found.groupBy("h").agg(F.min("shape").alias("shape"), F.sum("n").alias("n"))
 
 
+def _counts(h: np.ndarray, shapes: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"h": h.view(np.int64), "shape": shapes, "n": n})
+
+
 def class_edges(head: int) -> np.ndarray:
     """Where the classes of the head's words begin and end: FIRST_CLASS words, and then an eighth of the words before."""
     edges = [0]
@@ -551,64 +649,52 @@ def log10_probs(network: Network, texts: list[np.ndarray], first: int) -> np.nda
     return out
 
 
-class _Slots(dict):
-    """Words to places in a Reader's tables; a new word gets the next place and is noted."""
-
-    def __init__(self) -> None:
-        self.new: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        out = self[word] = len(self)
-        self.new.append(word)
-        return out
-
-
 class Reader:
     """Turns words into ids and counts, by the bounded tables that every executor has."""
 
-    LIMIT = 400_000
-
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, head: int) -> None:
-        order = np.argsort(hashes)
-        self.sorted = np.append(hashes[order], np.uint64(common.MASK))
-        self.known, self.numbers = np.append(counts[order], -1), np.append(order, head)
-        self.head = head
-        self.slots = _Slots()
-        self.hashes, self.ids, self.counts = np.zeros(4096, np.uint64), np.zeros(4096, np.int32), np.zeros(4096, np.int64)
-
-    def add(self, words: list[bytes], end: int) -> None:
-        """Fills the last places, up to end, with words."""
-        while end > len(self.ids):
-            self.hashes, self.ids, self.counts = (np.resize(x, 2 * len(x)) for x in (self.hashes, self.ids, self.counts))
-        h, here = hashes_of(words), slice(end - len(words), end)
-        at = np.searchsorted(self.sorted, h)
-        found = self.sorted[at] == h
-        number = np.where(found, self.numbers[at], self.head)
-        self.hashes[here] = h
-        self.ids[here] = np.where(number < self.head, number, self.head + shapes_of(words))
-        self.counts[here] = np.where(found, self.known[at], -1)
-
-    def places(self, words: list[bytes]) -> np.ndarray:
-        """Where hashes, ids and counts (-1 where only the join knows it) have each word; good until the next call."""
-        if len(self.slots) > self.LIMIT:
-            self.slots.clear()
-        out = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
-        if self.slots.new:
-            self.add(self.slots.new, len(self.slots))
-            self.slots.new = []
+        self.none, self.head = len(hashes), head
+        self.hashes, self.counts = np.append(hashes, np.uint64(0)), np.append(counts, -1)
+        # an open-addressed table of places in these: a word that finds a slot taken goes to the next
+        bits = max(4, (4 * self.none).bit_length())
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.slots = np.full(1 << bits, self.none, np.int32)
+        left, slot = np.arange(self.none), (hashes >> self.shift).astype(np.int64)
+        while left.size:
+            free = self.slots[slot] == self.none
+            self.slots[slot[free]] = left[free]
+            again = self.slots[slot] != left
+            left, slot = left[again], (slot[again] + 1) & self.last
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """Where the tables have each word: its number by frequency, or none where only the join knows it."""
+        slot = (hashes >> self.shift).astype(np.int64)
+        out = self.slots.take(slot)
+        left = np.flatnonzero((self.hashes.take(out) != hashes) & (out < self.none))
+        while left.size:
+            slot[left] = (slot[left] + 1) & self.last
+            out[left] = now = self.slots[slot[left]]
+            left = left[(self.hashes[now] != hashes[left]) & (now < self.none)]
         return out
 
+    def look_up(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hashes, places, ids) of words."""
+        hashes = words.hashes()
+        places = self.places(hashes)
+        ids, outside = places.copy(), np.flatnonzero(places >= self.head)
+        ids[outside] = self.head + words.shapes(outside)
+        return hashes, places, ids
+
     def read(self, word: bytes) -> tuple[int, int, int]:
         """(hash, id, count or -1) of a word."""
-        at = self.places([word])[0]
-        return int(self.hashes[at]), int(self.ids[at]), int(self.counts[at])
+        hashes, places, ids = self.look_up(Words.listed([word]))
+        return int(hashes[0]), int(ids[0]), int(self.counts[places[0]])
 
     def ids_of(self, texts: Iterator[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text, read some texts at a time."""
         for some in common.batches(((len(t or ""), t) for t in texts), READ):
-            split = [tokens(t) for t in some]
-            at = self.places(list(chain.from_iterable(split)))
-            yield from np.split(self.ids[at], np.cumsum([len(x) for x in split[:-1]], dtype=np.int64))
+            words, sizes = Words.of(some)
+            yield from np.split(self.look_up(words)[2], np.cumsum(sizes[:-1]))
 
 
 def most_frequent(words: DataFrame, most: int = KNOWN) -> DataFrame:
@@ -637,25 +723,31 @@ def read_texts(given: DataFrame, tables: tuple[np.ndarray, np.ndarray, int], bas
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tables, base_log, shape_log = sent.value
         mine = Reader(*tables)
+        count_logs = np.log10(np.maximum(mine.counts, 0) + 1)
+        common.keep_memory()
         for part in parts:
             given = zip(part["doc_id"].astype("Int64"), *[part[x] for x in ("at", "learn", "begins", "text")], strict=True)
             for some in common.batches(((len(r[4] or ""), r) for r in given), READ):
-                split = [tokens(r[4]) for r in some]
-                sizes = np.fromiter(map(len, split), np.int64, len(split))
-                place = mine.places(list(chain.from_iterable(split)))
-                ids, counts = mine.ids[place], mine.counts[place]
-                logs = np.log10(np.maximum(counts, 0) + 1)
-                own = np.where(ids >= head, logs - shape_log[np.maximum(ids - head, 0)], 0)
+                words, sizes = Words.of([r[4] for r in some])
+                hashes, places, ids = mine.look_up(words)
+                counts, logs = mine.counts.take(places), count_logs.take(places)
+                own = np.zeros(len(ids))
+                outside = np.flatnonzero(ids >= head)
+                own[outside] = logs[outside] - shape_log[ids[outside] - head]
                 ends = np.cumsum(sizes)
                 begins = ends - sizes  # a text has its end at least, so that no stretch is empty
                 known, base, own = (np.add.reduceat(x, begins) for x in ((counts > 0).astype(np.int64), logs, own))
                 data, width = ids.astype(kind).tobytes(), np.dtype(kind).itemsize
-                unknown = np.flatnonzero(counts < 0)
-                cuts = np.searchsorted(unknown, ends)[:-1]
-                rare = [np.unique(x, return_counts=True) for x in np.split(mine.hashes[place[unknown]].view(np.int64), cuts)]
+                unknown = np.flatnonzero(places == mine.none)
+                rare, row = hashes[unknown].view(np.int64), np.searchsorted(ends, unknown, side="right")
+                order = np.lexsort((rare, row))
+                rare, row = rare[order], row[order]
+                firsts = np.flatnonzero(np.concatenate([[True], (rare[1:] != rare[:-1]) | (row[1:] != row[:-1])])[: len(rare)])
+                times = np.diff(firsts, append=len(rare))
+                cuts = np.searchsorted(row[firsts], np.arange(1, len(sizes)))
                 columns = [
                     pd.array([r[0] for r in some], "Int64"), [r[1] for r in some], [r[2] for r in some], [r[3] for r in some],
-                    sizes, known, base - sizes * base_log, own, [x for x, _ in rare], [n for _, n in rare],
+                    sizes, known, base - sizes * base_log, own, np.split(rare[firsts], cuts), np.split(times, cuts),
                     [data[width * a : width * b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)],
                 ]
                 yield pd.DataFrame(dict(zip(names, columns, strict=True)))

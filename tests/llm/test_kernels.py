@@ -238,6 +238,55 @@ def test_words_are_read_in_bulk_as_one_by_one():
     assert none.read(b"a")[1:] == (language_model.shape(b"a"), -1)
 
 
+def test_words_of_texts_are_those_of_each_text():
+    """Found, hashed and given shapes in bulk, as stretches of bytes."""
+    long = ["x" * n + tail for n in (7, 8, 9, 15, 16, 17, 63, 64, 65, 1000) for tail in ("", ".", "é", "\0")]
+    texts = ["", None, " ", "A so! new,", "\t\n\x0b\x0c\r end", "\x1c\x85\xa0\u2003 a\0 a \0a", "no space at the end", *long, " ".join(long), "\ud800 odd", "ÀÉ " * 700, ""]
+    found, sizes = language_model.Words.of(texts)
+    each = [language_model.tokens(t) for t in texts]
+    words = [w for some in each for w in some]
+    assert sizes.tolist() == [len(some) for some in each]
+    assert [found.bytes[a : a + n].tobytes() for a, n in zip(found.starts.tolist(), found.sizes.tolist(), strict=True)] == words
+    hashes = found.hashes()
+    assert found.shapes(np.arange(len(words))).tolist() == [language_model.shape(w) for w in words]
+    alone = {w: language_model.hashes_of([w])[0] for w in set(words)}
+    assert hashes.tolist() == [alone[w] for w in words] and len(set(alone.values())) == len(alone)
+    none, sizes = language_model.Words.of([])
+    assert none.hashes().tolist() == sizes.tolist() == []
+
+
+def test_tables_find_every_word_and_no_other():
+    words = [str(k * k).encode() for k in range(40_000)]
+    hashes = language_model.hashes_of(words)
+    assert len(set(hashes.tolist())) == len(words)
+    for n in (0, 1, 5, 30_000):
+        reader = language_model.Reader(hashes[:n], np.arange(n), n // 2)
+        assert reader.places(hashes).tolist() == [*range(n), *[n] * (len(words) - n)]
+    # all in the last slots of the table, so that the search goes round
+    near = np.uint64(language_model.common.MASK) - np.arange(9, dtype=np.uint64)
+    assert language_model.Reader(near[:6], np.arange(6), 3).places(near).tolist() == [0, 1, 2, 3, 4, 5, 6, 6, 6]
+
+
+def test_words_are_not_read_one_by_one():
+    """An object and a search for each word took more of op2's time than scoring."""
+    import time
+
+    random_ = np.random.default_rng(6)
+    texts = [" ".join(map(str, random_.zipf(1.3, 500) % 60_000)) for _ in range(800)]
+    words = [str(k).encode() for k in range(60_000)]
+    reader = language_model.Reader(language_model.hashes_of(words), np.arange(60_000), 1000)
+    list(reader.ids_of(texts))
+
+    def seconds(read) -> float:
+        begun = time.process_time()
+        read()
+        return time.process_time() - begun
+
+    number = {w: k for k, w in enumerate(words)}
+    singly = min(seconds(lambda: [[number.get(w, 0) for w in language_model.tokens(t)] for t in texts]) for _ in range(5))
+    assert min(seconds(lambda: list(reader.ids_of(texts))) for _ in range(5)) < singly
+
+
 def test_large_odds_do_not_overflow():
     odds, sums = language_model._softmax(np.array([[1000.0, 999.0, -1000.0], [3.0, 3.0, 3.0]], np.float32))
     assert np.allclose(odds / sums[:, None], [[0.731059, 0.268941, 0], [1 / 3] * 3])

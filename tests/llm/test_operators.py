@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import math
 
@@ -254,6 +255,19 @@ def test_language_model_learns_from_all_rows(spark):
     assert found[1000]["score"] > found[1001]["score"] + 20
 
 
+@pytest.mark.parametrize("most", [1_000_000, 30])
+def test_counts_of_words_are_whole(spark, monkeypatch, most):
+    """Whatever a task holds of them at a time."""
+    monkeypatch.setattr(language_model, "FLUSH", most)
+    monkeypatch.setattr(language_model, "READ", 100)
+    texts = [None, "", *[words(k, 40) + " " + "Word " * k for k in range(60)], "a" * 70 + " é!"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    expected = collections.Counter(w for t in texts for w in language_model.tokens(t))
+    found = {r["h"]: (r["shape"], r["n"]) for r in language_model.counted(docs).collect()}
+    hashes = language_model.hashes_of(list(expected)).view(language_model.np.int64).tolist()
+    assert found == {h: (language_model.shape(w), n) for h, (w, n) in zip(hashes, expected.items(), strict=True)}
+
+
 def test_texts_are_read_into_ids_that_learning_takes(spark):
     """Learning read every text a second time, and scoring a third."""
     np = language_model.np
