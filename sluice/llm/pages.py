@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -69,7 +69,7 @@ _SPACES = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("attributes", "children", "depth", "links", "name", "parent", "points", "size")
+    __slots__ = ("attributes", "children", "depth", "links", "main", "name", "parent", "points", "prose", "signs", "size")
 
     def __init__(self, name: str, parent: Node | None, attributes: str = "") -> None:
         self.name, self.parent, self.attributes = name, parent, attributes
@@ -89,6 +89,8 @@ class _Page:
     def tag_end(self, at: int) -> int:
         """The place of the > that ends the tag whose name ends at at; -1 if the page ends first."""
         page = self.page
+        if page.startswith(">", at):
+            return at
         while at <= self.last[">"]:
             stop = _STOP.search(page, at)
             if stop[0] == ">":
@@ -115,9 +117,9 @@ class _Tree:
 
     def __init__(self) -> None:
         self.top = self.here = Node("#page", None)
-        self.open: Counter = Counter()
-        self.inline: list[Counter] = [Counter()]
-        self.flat: Counter = Counter()
+        self.open: dict[str, int] = defaultdict(int)
+        self.inline: list[dict[str, int]] = [defaultdict(int)]
+        self.flat: dict[str, int] = defaultdict(int)
 
     def push(self, node: Node) -> None:
         if node.depth > DEPTH:
@@ -128,7 +130,7 @@ class _Tree:
         if node.name in INLINE:
             self.inline[-1][node.name] += 1
         else:
-            self.inline.append(Counter())
+            self.inline.append(defaultdict(int))
 
     def pop_to(self, node: Node) -> None:
         """Closes all that is open below node."""
@@ -287,19 +289,22 @@ def _needed(node: Node, in_article: bool) -> float | None:
 def _cut(top: Node) -> None:
     """Removes what is never article text, and what its mark says is none unless the page's prose is there."""
     nodes = _order(top)
-    prose: dict[int, int] = {}
-    signs: dict[int, int] = {}  # paragraphs, and two for the page's heading or an element that says it's the article
-    mains: dict[int, bool] = {}  # holds an element that says it's the article
     for node in reversed(nodes):
-        at = id(node)
-        if node.name in NEVER or node.name == "a":
-            prose[at], signs[at], mains[at] = 0, 0, False
-            continue
-        inner = [id(c) for c in node.children if not isinstance(c, str)]
-        prose[at] = sum(len(c.strip()) for c in node.children if isinstance(c, str)) + sum(prose[c] for c in inner)
-        mains[at] = node.name in ("article", "main") and prose[at] > 0 or any(mains[c] for c in inner)
-        signs[at] = sum(signs[c] for c in inner) + (0 if not prose[at] else 2 if node.name in ("h1", "article", "main") else int(node.name == "p"))
-    whole = max(1, prose[id(top)])
+        # signs: paragraphs, and two for the page's heading or an element that says it's the article; main: holds such an element
+        name, prose, signs, main = node.name, 0, 0, False
+        if name not in NEVER and name != "a":
+            for c in node.children:
+                if isinstance(c, str):
+                    prose += len(c.strip())
+                else:
+                    prose += c.prose
+                    signs += c.signs
+                    main = main or c.main
+            if prose:
+                main = main or name in ("article", "main")
+                signs += 2 if name in ("h1", "article", "main") else int(name == "p")
+        node.prose, node.signs, node.main = prose, signs, main
+    whole = max(1, top.prose)
     stack = [(top, False)]
     while stack:
         node, in_article = stack.pop()
@@ -309,11 +314,11 @@ def _cut(top: Node) -> None:
             if not isinstance(c, str):
                 needed = _needed(c, in_article)
                 if needed is not None:
-                    at = id(c)
-                    elsewhere = mains[id(top)] and not mains[at] and not in_article
-                    if elsewhere or prose[at] < needed * whole or signs[at] < (1 if needed <= HALF else 2):
+                    elsewhere = top.main and not c.main and not in_article
+                    if elsewhere or c.prose < needed * whole or c.signs < (1 if needed <= HALF else 2):
                         continue
-                stack.append((c, in_article))
+                if c.children:
+                    stack.append((c, in_article))
             kept.append(c)
         node.children = kept
 
@@ -324,22 +329,30 @@ def _order(top: Node) -> list[Node]:
     while stack:
         node = stack.pop()
         out.append(node)
-        stack += [c for c in reversed(node.children) if not isinstance(c, str)]
+        if node.children:
+            stack += [c for c in reversed(node.children) if not isinstance(c, str)]
     return out
 
 
 def _score(top: Node) -> list[Node]:
     nodes = _order(top)
+    paragraphs: list[tuple[Node, int]] = []
     for node in reversed(nodes):
-        own = sum(len(c.strip()) for c in node.children if isinstance(c, str))
-        node.size = own + sum(c.size for c in node.children if not isinstance(c, str))
-        node.links = node.size if node.name == "a" else sum(c.links for c in node.children if not isinstance(c, str))
-    for node in nodes:
-        text = [c for c in node.children if isinstance(c, str)]
-        size = sum(len(c.strip()) for c in text) + sum(c.size for c in node.children if not isinstance(c, str) and c.name in INLINE)
-        if node.name in INLINE or size < 2 or not (node.name in TEXTUAL or any(c.strip() for c in text)):
-            continue
-        commas = sum(c.count(",") for c in text)
+        own = inline = inner = links = 0
+        for c in node.children:
+            if isinstance(c, str):
+                own += len(c.strip())
+            else:
+                inner += c.size
+                links += c.links
+                if c.name in INLINE:
+                    inline += c.size
+        node.size = own + inner
+        node.links = node.size if node.name == "a" else links
+        if own + inline >= 2 and node.name not in INLINE and (own or node.name in TEXTUAL):
+            paragraphs.append((node, own + inline))
+    for node, size in reversed(paragraphs):  # in page order
+        commas = sum(c.count(",") for c in node.children if isinstance(c, str))
         points = 1 + commas + min(size / 100, 10)
         if node.name in HEADINGS:
             points = 0.5
@@ -354,6 +367,8 @@ def _score(top: Node) -> list[Node]:
 def _bonus(node: Node) -> float:
     if node.name in ("article", "main"):
         return 1.5
+    if not node.points or not node.attributes:
+        return 1.0
     return 1.25 if _words(_attributes(node)) & POINTS_IN else 1.0
 
 

@@ -355,6 +355,26 @@ def test_pages(page, text):
     assert pages.article(page) == text
 
 
+@pytest.mark.parametrize("unit", ["<b>", "<p><b>", "<dt><b>", "<li><ul>"])
+def test_elements_take_few_calls(unit):
+    """Sums and lookups by Python functions took half of the time of a page of many elements."""
+    import sys
+
+    calls = 0
+
+    def count(frame, event, arg) -> None:
+        nonlocal calls
+        calls += event == "call"
+
+    page = "<article><p>Text, first.</p>" + unit * 1000 + "</article>"
+    sys.setprofile(count)
+    try:
+        pages.article(page)
+    finally:
+        sys.setprofile(None)
+    assert calls < 18_000 * unit.count("<")
+
+
 @pytest.mark.parametrize("unit", ["<x ", '<a "', "</b>", "<b>", "<div>", "<i><div></i>", "<title>", "<!--", "<svg>", "<p><b>", "<dt><b>", '<a b="', "<a b='\"", "<li><ul>", "< ", "</", "<a =", "<td><table>", "a&", "<b></i>"])
 def test_pages_of_a_megabyte_take_linear_time(unit):
     import time
